@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid_svm
+from . import langid_svm, pii_disclosure, secret_ledger
 from ._spark import documents
 
 
@@ -16,6 +16,17 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", langid_svm.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, ledger, _ = secret_ledger.scan(documents(spark, sf_dir))
+    return secret_ledger.findings(paths, ledger).withColumnRenamed("path", "doc_id")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_disclosure.digest(pii_disclosure.find(documents(spark, sf_dir)))
+
+
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op5_personal_data": op5_personal_data,
     "op9_language_id": op9_language_id,
 }
