@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid_svm, pii_disclosure, secret_ledger
+from . import gga_pack, langid_svm, pii_disclosure, secret_ledger
 from ._spark import documents
 
 
@@ -25,8 +25,13 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_disclosure.digest(pii_disclosure.find(documents(spark, sf_dir)))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gga_pack.pack_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op5_personal_data": op5_personal_data,
     "op9_language_id": op9_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
