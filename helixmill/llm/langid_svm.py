@@ -131,7 +131,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     for yes, no in tasks:
         pick = np.flatnonzero(yes | no)
         fits.append(_svm([data[i] for i in pick], np.where(yes[pick], 1.0, -1.0), epochs, penalty, seed))
-    return LanguageModel(families, languages, family_pairs, language_pairs, np.array([w * 30 for w, _ in fits]).reshape(len(fits), -1), np.array([b for _, b in fits]))
+    return LanguageModel(families, languages, family_pairs, language_pairs, np.array([w * 30 for w, _ in fits]).reshape(len(fits), len(ORDERS) << BITS), np.array([b for _, b in fits]))
 
 
 def margins(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
