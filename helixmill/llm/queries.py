@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gga_pack, langid_svm, pii_disclosure, secret_ledger, toxicity_kn
+from . import gga_pack, iblt_fingerprint, langid_svm, pii_disclosure, secret_ledger, toxicity_kn
 from ._spark import documents
 
 
@@ -29,6 +29,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gga_pack.pack_documents(documents(spark, sf_dir))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt_fingerprint.versions(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     learning = ~toxicity_kn.held_out()
@@ -40,6 +44,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op5_personal_data": op5_personal_data,
+    "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
