@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gga_pack, iblt_fingerprint, langid_svm, pii_disclosure, secret_ledger, toxicity_kn
+from . import feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, secret_ledger, toxicity_kn
 from ._spark import documents
 
 
@@ -21,6 +21,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.findings(paths, ledger).withColumnRenamed("path", "doc_id")
 
 
+def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source")
+    return pfair_mix.mix(docs)
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_disclosure.digest(pii_disclosure.find(documents(spark, sf_dir)))
 
@@ -29,6 +34,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gga_pack.pack_documents(documents(spark, sf_dir))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feistel_shards.materialise_documents(documents(spark, sf_dir))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt_fingerprint.versions(documents(spark, sf_dir))
 
@@ -43,7 +52,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_weighted_mix": op3_weighted_mix,
     "op5_personal_data": op5_personal_data,
+    "op6_training_order": op6_training_order,
     "op7_fingerprints": op7_fingerprints,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
