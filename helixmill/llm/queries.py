@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, secret_ledger, toxicity_kn
+from . import feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, secret_ledger, setjoin, toxicity_kn
 from ._spark import documents
 
 
@@ -26,6 +26,10 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair_mix.mix(docs)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_disclosure.digest(pii_disclosure.find(documents(spark, sf_dir)))
 
@@ -53,6 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_weighted_mix": op3_weighted_mix,
+    "op4_ngram_join": op4_ngram_join,
     "op5_personal_data": op5_personal_data,
     "op6_training_order": op6_training_order,
     "op7_fingerprints": op7_fingerprints,
