@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from ..functions.codec import MAX_SCORE, NEIGHBOUR, SEED, SUBSTITUTION, mismatches, reverse_complement
 from . import index, kernels
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def align_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Score of a read's neighbour against a reference neighbour."""
     for a, b in pairs:
