@@ -2,4 +2,38 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+BM25 = f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS t FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY doc_id),
+df AS (SELECT t, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf GROUP BY t),
+m AS (SELECT (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS mean),
+s AS (SELECT q.doc_id AS query, tf.doc_id, round(sum(idf * tf.tf * 2.2 / (tf.tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 6) AS score
+  FROM tf q JOIN df USING (t) JOIN tf ON tf.t = q.t JOIN dl ON dl.doc_id = tf.doc_id, m WHERE q.doc_id % 20 = 0 GROUP BY ALL)
+SELECT query, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+
+def _spans(kind: str, pattern: str, holds: str) -> str:
+    """doc_id, kind, start and stop of a pattern's matches, placed by the gaps between them."""
+    return f"""
+SELECT doc_id, '{kind}' AS kind, stop - n AS start, stop FROM (
+  SELECT doc_id, v, length(v) AS n, sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+    SELECT doc_id, unnest(f) AS v, unnest(s[:len(f)]) AS g, unnest(range(len(f))) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}') AS f, regexp_split_to_array(text, '{pattern}') AS s FROM documents) WHERE len(f) > 0)) WHERE {holds}"""
+
+
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["\'\']?\x20*[:=]\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""".replace("\\'", "'")
+
+SECRETS = f"""
+WITH x AS (
+  SELECT *, 0 AS k FROM ({_spans("assign", ASSIGN, f"length(regexp_extract(v, '{ASSIGN}', 1)) >= 8")})
+  UNION ALL SELECT *, 1 FROM ({_spans("access", "AKIA[A-Z0-9]+", "n >= 16")})
+  UNION ALL SELECT *, 2 FROM ({_spans("hex", "[0-9a-f]+", "n >= 32")})),
+y AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) AS spans, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN y USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op1_secret_scan": SECRETS, "op2_topk_search": BM25}
