@@ -85,24 +85,35 @@ def difference(pairs: DataFrame, cells: int, seed: int, steps: int = STEPS) -> D
 
 
 def differences(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
-    """Sizes of the differences of all pairs: id, pair, differ. `pairs` is a written table."""
-    done, seed = [], 0
-    while True:
-        tried = written(difference(pairs, cells, seed))
-        done.append(tried.where(~F.col("failed")).select("id", "pair", "differ"))
-        failed = tried.where("failed").select("id", "pair")
-        if failed.isEmpty():
-            break
-        pairs, cells, seed = pairs.join(failed, ["id", "pair"], "left_semi"), min(cells * GROWTH, 1 << 20), seed + 1
+    """Sizes of the differences of all pairs: id, pair, differ. `pairs` reads a written table.
+
+    The first attempt's sketches hold what the two set sizes allow to differ, so that most pairs
+    take one attempt; failures are tried again, larger.
+    """
+    need = F.size("one") + F.size("other")
+    most = pairs.agg(F.max(need)).first()[0]
+    done, low = [], -1
+    while most is not None and low < most:
+        room = 2 * cells  # of 3 * cells cells
+        part, size, seed = pairs.where((need > low) & (need <= room)), cells, 0
+        while True:
+            tried = written(difference(part, size, seed))
+            done.append(tried.where(~F.col("failed")).select("id", "pair", "differ"))
+            failed = tried.where("failed").select("id", "pair")
+            if failed.isEmpty():
+                break
+            part, size, seed = written(part.join(failed, ["id", "pair"], "left_semi")), size * GROWTH, seed + 1
+        low, cells = room, cells * GROWTH
+    if not done:
+        return pairs.select("id", "pair", F.lit(0).cast("long").alias("differ")).limit(0)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
-def likeness(one: Column, other: Column, differ: Column) -> Column:
-    """Common digests among all, from the set sizes and the size of the difference; 1 if there are none."""
-    n = F.size(one) + F.size(other)
+def likeness(n: Column, differ: Column) -> Column:
+    """Common digests among all, from the sum of the set sizes and the size of the difference; 1 if there are none."""
     return F.when(n == 0, F.lit(1.0)).otherwise((n - differ) / (n + differ))
 
 
@@ -152,7 +163,8 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     both = F.array(F.struct(F.lit(0).alias("pair"), F.col("edited_digests").alias("other")), F.struct(F.lit(1).alias("pair"), F.col("next_digests").alias("other")))
     differ = differences(rows.select("id", F.col("digests").alias("one"), F.explode(both).alias("p")).select("id", "p.pair", "one", "p.other"))
     differ = differ.groupBy("id").agg(*[F.max(F.when(F.col("pair") == i, F.col("differ"))).alias(f"differ_{i}") for i in (0, 1)])
-    whole = rows.join(prints, "id", "left").join(differ, "id", "left")
+    sized = rows.select("id", "key", "n_chars", "edited_sha256", (F.size("digests") + F.size("edited_digests")).alias("n_0"), (F.size("digests") + F.size("next_digests")).alias("n_1"))
+    whole = sized.join(prints, "id", "left").join(differ, "id", "left")
     none = F.lit("0;")
     return whole.select(
         F.col("key").alias(key),
@@ -160,6 +172,6 @@ def versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         "edited_sha256",
         F.coalesce("fingerprint", none).alias("fingerprint"),
         F.coalesce("edited_fingerprint", none).alias("edited_fingerprint"),
-        likeness(F.col("digests"), F.col("edited_digests"), F.coalesce("differ_0", F.lit(0))).alias("near_edited"),
-        likeness(F.col("digests"), F.col("next_digests"), F.coalesce("differ_1", F.lit(0))).alias("near_next"),
+        likeness(F.col("n_0"), F.coalesce("differ_0", F.lit(0))).alias("near_edited"),
+        likeness(F.col("n_1"), F.coalesce("differ_1", F.lit(0))).alias("near_next"),
     )
