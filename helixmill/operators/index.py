@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.codec import CHUNK, NEIGHBOUR, SEED, seed_code
 
 VERSION = 1
+#: Positions that are cut from one piece of a sequence.
+BLOCK = 256
 
 
 def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
@@ -22,11 +24,18 @@ def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
     return sized.withColumn("_inside", inside).join(before, "_group").select("seq_nr", "seq_len", (F.col("_before") + F.col("_inside")).alias("pt_seq"))
 
 
+def blocks(genome: DataFrame, first: int, last, before: int, after: int, size: int = BLOCK) -> DataFrame:
+    """seq_nr, at, k, piece: every position at + k from `first` to `last` (an expression of bases), with `before` symbols before and `after` from each in a short piece, so that no position walks a long string."""
+    at = genome.select("seq_nr", "bases", last.cast("int").alias("last")).where(F.col("last") >= first)
+    at = at.select("seq_nr", "bases", "last", F.explode(F.sequence(F.lit(first), F.col("last"), F.lit(size))).alias("at"))
+    pieces = at.select("seq_nr", "at", F.least(F.lit(size - 1), F.col("last") - F.col("at")).alias("_n"), F.substring("bases", F.col("at") - before + 1, F.lit(before + size - 1 + after)).alias("piece"))
+    return pieces.select("seq_nr", "at", "piece", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"))
+
+
 def positions(genome: DataFrame, tail: int = SEED + NEIGHBOUR) -> DataFrame:
     """seq_nr, seed_nr (0-based), seed, of every position with `tail` symbols to come; seeds with unknown symbols are left out."""
-    long = genome.where(F.length("bases") >= tail)
-    at = long.select("seq_nr", "bases", F.explode(F.sequence(F.lit(0), F.length("bases") - tail)).alias("seed_nr"))
-    found = at.select("seq_nr", F.col("seed_nr").cast("long").alias("seed_nr"), F.substring("bases", F.col("seed_nr") + 1, F.lit(SEED)).alias("seed"))
+    each = blocks(genome, 0, F.length("bases") - tail, 0, SEED)
+    found = each.select("seq_nr", (F.col("at") + F.col("k")).cast("long").alias("seed_nr"), F.substring("piece", F.col("k") + 1, F.lit(SEED)).alias("seed"))
     return found.where(~F.contains("seed", F.lit("N")))
 
 

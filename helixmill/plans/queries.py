@@ -220,8 +220,8 @@ def variant_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def homopolymer_del(spark: SparkSession, sf: str) -> DataFrame:
     g = fx.genome(spark, sf).where(F.length("bases") >= 80)
-    at = g.select("seq_nr", "bases", F.explode(F.sequence(F.lit(12), F.length("bases") - 1)).alias("pos"))
-    return at.where(codec.homopolymer(F.col("bases"), F.col("pos"))).groupBy("seq_nr").agg(F.count(F.lit(1)).alias("n"))
+    each = index.blocks(g, 12, F.length("bases") - 1, 12, 0)
+    return each.where(codec.homopolymer(F.col("piece"), 12 + F.col("k"))).groupBy("seq_nr").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
