@@ -7,9 +7,11 @@ index of (size band, position of the part, digest of the part) misses no link.
 
 Skipping works at two levels. Index lists are keyed by position, so that a probe of one position
 never meets the others, and lists with a single class, or whose sizes can't reach the threshold,
-are skipped whole. Answers are derived from those of similar sets: in each list first only the link
-to the list's first class is verified, and classes so linked share one answer (their component).
-Only pairs of a list whose classes still have different answers are compared after that.
+are skipped whole. Answers are derived from those of similar sets: in a few rounds only the links of a
+list's classes to one of them are verified, another one each round, and classes so linked share one
+answer (their component). Only pairs of a list whose classes still have different answers are
+compared after that. Before any set is fetched, two sets' parity sketches bound their difference
+from below: what that rules out can't link.
 
 Sets are compared exactly, on 64-bit digests; two different shingles of one pair of documents
 share a digest with probability 2**-64. No list, component or set is capped or collected.
@@ -36,6 +38,8 @@ from ._spark import cut, written
 SPARE = 1
 #: The bit set that spares sets without any candidate the way to verification, in bits.
 SEEN_BITS = 23
+#: Longs in a parity sketch, and rounds of links to one class of a list.
+SKETCH, ROUNDS = 8, 3
 
 
 class Bands:
@@ -62,7 +66,8 @@ class Bands:
 
     def parts(self, band: int) -> tuple[int, int]:
         """Number of parts of a band, and the largest difference of two sets that link, of this band or of it and the next."""
-        differ = 2 * (self.start(band + 2) - 1) * (self.den - self.num) // (self.den + self.num)
+        most = self.start(band + 1) - 1
+        differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
         return differ + 1 + SPARE, differ
 
 
@@ -104,35 +109,60 @@ def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray
             yield set_of(shingle[at[r] : at[r + 1]])
 
 
-def classes(docs: DataFrame, key: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """key, n (set size), cls (digest of the set), lists (keys of its index lists, 64-bit)."""
+def classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """key, n (set size), cls (digest of the set)."""
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
-            n, cls, lists = [], [], []
-            for s in _sets(batch, 1, width):
-                n.append(len(s))
-                cls.append(class_of(s))
-                lists.append(signatures(s, bands).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(lists, pa.binary())], ["key", "n", "cls", "lists"])
+            found = [(len(s), class_of(s)) for s in _sets(batch, 1, width)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["key", "n", "cls"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, f"key {kind}, n long, cls long, lists binary")
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, f"key {kind}, n long, cls long")
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            lists = [np.frombuffer(x, "<i8") for x in part.column(2).to_pylist()]
-            size = [len(x) for x in lists]
-            if sum(size):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(part.column(0).to_numpy(), size)), pa.array(np.repeat(part.column(1).to_numpy(), size))], ["list", "cls", "n"])
+def listed(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
+    """list, cls: the index, each class once from each task that has it."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(num, den), set()
+        lists, cls, held = [], [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(np.array(cls, np.int64), [len(x) for x in lists]))], ["list", "cls"])
+
+        for batch in batches:
+            for s in _sets(batch, 0, width):
+                c = class_of(s)
+                if c not in seen:
+                    seen.add(c)
+                    lists.append(signatures(s, bands))
+                    cls.append(c)
+                    held += len(lists[-1])
+                    if held > 1 << 17:
+                        yield made()
+                        lists, cls, held = [], [], 0
+        if lists:
+            yield made()
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(read, "list long, cls long")
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """A set's parity sketch: each item flips one bit, so that two sets differ in as many items at least as their sketches in bits."""
+    odd = np.bincount((s & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def _may_link(x: str, y: str, num: int, den: int):
+    """Whether the sizes and sketches of two sides (structs n and parity) allow a link."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = sum((F.bit_count(F.get(f"{x}.parity", F.lit(i)).bitwiseXOR(F.get(f"{y}.parity", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (n * den >= m * num) & (m * den >= n * num) & (differ * (den + num) <= (n + m) * (den - num))
 
 
 def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """cls, items (the set as sorted unsigned 64-bit bytes) of the wanted classes, one row for each."""
+    """cls, items (the set as sorted unsigned 64-bit bytes) and parity of the wanted classes, one row for each."""
     spark, mask = docs.sparkSession, (1 << SEEN_BITS) - 1
     at = F.col("cls").bitwiseAND(F.lit(mask))
     words = wanted.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
@@ -141,22 +171,28 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> D
         bits[i] = word
     shared = spark.sparkContext.broadcast(bits)
 
+    def made(cls: list, items: list, parity: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["cls", "items", "parity"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # a class once from each task
         for batch in batches:
-            cls, items, held = [], [], 0
+            cls, items, parity, held = [], [], [], 0
             for s in _sets(batch, 0, width):
                 c = class_of(s)
-                if len(s) and shared.value[(c & mask) >> 6] >> (c & 63) & 1:
+                if len(s) and c not in seen and shared.value[(c & mask) >> 6] >> (c & 63) & 1:
+                    seen.add(c)
                     cls.append(c)
                     items.append(s.astype("<u8").tobytes())
+                    parity.append(parities(s))
                     held += 8 * len(s)
                     if held > 1 << 22:
-                        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"])
-                        cls, items, held = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary())], ["cls", "items"])
+                        yield made(cls, items, parity)
+                        cls, items, parity, held = [], [], [], 0
+            yield made(cls, items, parity)
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "cls long, items binary")
-    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "cls long, items binary, parity array<long>")
+    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"), F.first("parity").alias("parity"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -192,47 +228,54 @@ def components(links: DataFrame) -> DataFrame:
             return label.withColumnRenamed("u", "node").withColumnRenamed("l", "root")
 
 
-def links(found: DataFrame, docs: DataFrame, text: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(verified links between classes, components of the classes that have any); found: see classes, a written table."""
-    once = found.where(F.length("lists") > 0).groupBy("cls").agg(F.first("n").alias("n"), F.first("lists").alias("lists"))
-    rows = once.select("cls", "n", "lists").mapInArrow(_listed, "list long, cls long, n long")
-    in_list = Window.partitionBy("list")
-    first = F.first(F.struct("cls", "n")).over(in_list.orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    following = F.lead("cls").over(in_list.orderBy("n", "cls"))
-    shared = rows.select("list", "cls", "n", first.alias("f"), following.alias("after")).where(F.col("after").isNotNull() | (F.col("f.cls") != F.col("cls")))
-    shared = written(shared.select("list", "cls", "n", F.col("f.cls").alias("first"), F.col("f.n").alias("first_n")))
-
-    sets = written(_stored_sets(docs, shared.select("cls").distinct(), text, width))
-    fits = F.col("first_n") * den >= F.col("n") * num
-    star = shared.where((F.col("first") != F.col("cls")) & fits).select(F.least("cls", "first").alias("a"), F.greatest("cls", "first").alias("b")).distinct()
-    star = written(star)
-    good = _verified(star, sets, num, den)
-    answer = components(good)
-
-    # lists whose classes have different answers: those that share the first one's answer meet the others only
-    told = shared.join(answer.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    told = written(told.select("list", "cls", "n", "root"))
-    mixed = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
-    rest = told.join(mixed, "list")
-    x, y = rest.alias("x"), rest.where(F.col("root") != F.col("low")).alias("y")
-    apart = (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root"))
-    sizes = (F.col("x.n") * den >= F.col("y.n") * num) & (F.col("y.n") * den >= F.col("x.n") * num)
-    more = x.join(y, apart & sizes).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    also = _verified(more, sets, num, den)
-    all_links = good.unionByName(also)
-    return all_links, components(all_links) if not also.isEmpty() else answer
+def links(docs: DataFrame, text: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links that were needed and verified, components of the classes that have any: node, root)."""
+    in_list = Window.partitionBy("list").orderBy("cls")
+    beside = [F.coalesce(f("cls").over(in_list) != F.col("cls"), F.lit(False)) for f in (F.lag, F.lead)]
+    shared = listed(docs, text, width, num, den).select("list", "cls", (beside[0] | beside[1]).alias("_shared"))
+    entries = written(shared.where("_shared").select("list", "cls").distinct())
+    sets = written(_stored_sets(docs, entries.select("cls").distinct(), text, width))
+    about = sets.select("cls", F.struct((F.length("items") / 8).cast("long").alias("n"), "parity").alias("about"))
+    pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
+    tried = answer = found = None
+    for turn in range(ROUNDS + 1):
+        told = entries.withColumn("root", F.col("cls"))
+        if answer is not None:
+            told = entries.join(answer.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        told = written(told)
+        one = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root")).alias("one")
+        open_lists = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), one).where("low != high")
+        if turn < ROUNDS:  # one class of each list against the others
+            x, y = open_lists.select("list", "one.cls", "one.root").alias("x"), told.alias("y")
+            met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") != F.col("y.root"))).select(*pair).distinct()
+            if tried is not None:
+                met = met.join(tried, ["a", "b"], "left_anti")
+            met = written(met)
+            tried = met if tried is None else tried.unionByName(met)
+            sides = met.join(about.withColumnsRenamed({"cls": "a", "about": "x"}), "a").join(about.withColumnsRenamed({"cls": "b", "about": "y"}), "b")
+            pairs = sides.where(_may_link("x", "y", num, den)).select("a", "b")
+            entries = told.join(open_lists.select("list"), "list", "left_semi").select("list", "cls")
+        else:  # all pairs with different answers
+            rest = told.join(open_lists.select("list", "low"), "list").join(about, "cls")
+            x, y = rest.alias("x"), rest.where("root != low").alias("y")
+            met = (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root")) & _may_link("x.about", "y.about", num, den)
+            pairs = x.join(y, met).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
+        good = _verified(written(pairs), sets.select("cls", "items"), num, den)
+        found = good if found is None else found.unionByName(good)
+        if answer is None or not good.isEmpty():
+            answer = components(found)
+    return found, answer
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """A row for each document: key, n_shingles, component_id (the least id that links reach), cls, n_links (verified links of its class to other classes)."""
-    found = written(classes(docs, key, text, width, num, den))
-    verified, answer = links(found, docs, text, width, num, den)
-    ends = verified.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
+    """A row for each document: key, n_shingles, component_id (the least id that links reach), cls (digest of its set, null if empty)."""
+    found = written(classes(docs, key, text, width))
+    _, answer = links(docs, text, width, num, den)
     per_class = found.where("n > 0").groupBy("cls").agg(F.min("key").alias("least")).join(answer.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = written(per_class.join(least, "root").join(ends, "cls", "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    told = written(per_class.join(least, "root").select("cls", "component_id"))
     rows = found.select("key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(told, "cls", "left")
-    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "cls", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), "cls")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
