@@ -29,6 +29,8 @@ def blocks(genome: DataFrame, first: int, last, before: int, after: int, size: i
     at = genome.select("seq_nr", "bases", last.cast("int").alias("last")).where(F.col("last") >= first)
     at = at.select("seq_nr", "bases", "last", F.explode(F.sequence(F.lit(first), F.col("last"), F.lit(size))).alias("at"))
     pieces = at.select("seq_nr", "at", F.least(F.lit(size - 1), F.col("last") - F.col("at")).alias("_n"), F.substring("bases", F.col("at") - before + 1, F.lit(before + size - 1 + after)).alias("piece"))
+    # few long sequences, or one small file, would leave the expansion to few tasks
+    pieces = pieces.repartition(2 * genome.sparkSession.sparkContext.defaultParallelism, "seq_nr", "at")
     return pieces.select("seq_nr", "at", "piece", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"))
 
 
