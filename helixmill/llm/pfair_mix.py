@@ -1,22 +1,29 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in the order of a hash of their ids, form blocks of equal number. With c of
-the W slots of a period, its i-th block (from 0) is released at floor(i W / c) and due at
-ceil((i + 1) W / c); earliest-deadline-first meets every window, so that at any slot each source
-is less than one block off its target. One period of each phase is scheduled on the driver and all
-blocks take their slots by arithmetic. When a source can't fill its next period, it gives its last
-blocks in one closing round, and the others go on with their weights. No row is dropped or repeated.
+A source's documents, in the order of a hash of their ids, form blocks of equal number. By any time
+t of the mix a source's target A(t) grows by its weight's share among the sources that have blocks
+left; weights are exact fractions. A source runs dry when its target meets its last block, and from
+that moment on the others share its weight. Block i (from 0) is released at floor(a) and due at
+ceil(b), where A(a) = i and A(b) = i + 1; earliest-deadline-first meets every window, so that at any
+slot each source is less than one block off its target. Targets add up to the slots, so that a
+schedule exists for all weights and sizes. One task deals the slots; its memory grows with the
+number of sources only. No row is dropped or repeated.
 
 Edge cases: a null source is a source of its own; null and repeated ids keep their rows; a
-weight that is missing counts as the least of the given ones; an empty table gives an empty result.
+weight that is missing counts as the least of the given ones; sources of weight 0 come, evenly, after
+all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import accumulate, islice
+from math import lcm
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import written
@@ -44,35 +51,63 @@ def schedule(shares: list[int]) -> list[list[int]]:
     return slots
 
 
-@dataclass(frozen=True)
-class Run:
-    """Blocks first..last-1 of a source: share of `width` slots a period from slot `start`, at `slots` in the period."""
-
-    source: str
-    first: int
-    last: int
-    share: int
-    width: int
-    start: int
-    slots: list[int]
-
-
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[Run]:
-    """All runs; their number is at most twice the square of the number of sources."""
-    left, used, runs, start = dict(blocks), dict.fromkeys(blocks, 0), [], 0
-    while active := sorted(s for s, n in left.items() if n):
-        total = sum(weights[s] for s in active)
-        shares = {s: max(1, round(period * weights[s] / total)) for s in active}
-        rounds = min(left[s] // shares[s] for s in active)
-        if not rounds:
-            shares, rounds = {s: min(shares[s], left[s]) for s in active}, 1
-        width = sum(shares.values())
-        for s, slots in zip(active, schedule([shares[s] for s in active]), strict=True):
-            runs.append(Run(s, used[s], used[s] + rounds * shares[s], shares[s], width, start, slots))
-            used[s] += rounds * shares[s]
-            left[s] -= rounds * shares[s]
-        start += rounds * width
-    return runs
+def _exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the ratio of the weights, which are read as the decimals that they show."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    if any(w < 0 for w in exact.values()):
+        raise ValueError(f"a negative weight: {weights}")
+    unit = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * unit) for s, w in exact.items()}
+
+
+def deal(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int, int, int, int]]:
+    """source, block, slot, release and deadline of all blocks, slot by slot."""
+    whole, start = _exact({s: weights[s] for s in blocks}), 0
+    for tier in ({s: w for s, w in whole.items() if w}, {s: 1 for s, w in whole.items() if not w}):
+        sized = {s: blocks[s] for s in tier if blocks[s]}
+        yield from _dealt(sized, tier, start)
+        start += sum(sized.values())
+
+
+def _dealt(blocks: dict[str, int], weights: dict[str, int], start: int) -> Iterator[tuple[str, int, int, int, int]]:
+    dry = sorted(blocks, key=lambda s: (Fraction(blocks[s], weights[s]), s))
+    names, n, w = dry, [blocks[s] for s in dry], [weights[s] for s in dry]
+    # while the first k sources are dry: their blocks, and the weights of the others
+    gone, rest = [0, *accumulate(n)], [sum(w[k:]) for k in range(len(n) + 1)]
+    phase, given = [0] * len(n), [0] * len(n)
+
+    def at(s: int, i: int) -> tuple[int, int]:
+        """Floor and ceiling of the time at which the target of s comes to i."""
+        while i * w[phase[s]] > n[phase[s]] * w[s]:
+            phase[s] += 1
+        low, more = divmod(i * rest[phase[s]], w[s])
+        return start + gone[phase[s]] + low, start + gone[phase[s]] + low + (more > 0)
+
+    waiting: list[tuple[int, int]] = [(start, s) for s in range(len(n))]
+    ready: list[tuple[int, int, int, int]] = []
+    for t in range(start, start + gone[-1]):
+        while waiting and waiting[0][0] <= t:
+            release, s = heapq.heappop(waiting)
+            after, due = at(s, given[s] + 1)
+            heapq.heappush(ready, (due, s, release, after))
+        due, s, release, after = heapq.heappop(ready)
+        yield names[s], given[s], t, release, due
+        given[s] += 1
+        if given[s] < n[s]:
+            heapq.heappush(waiting, (after, s))
+
+
+def plan(spark: SparkSession, blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> DataFrame:
+    """The table of `deal`, made by one task that hands on `period` slots at a time."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                rows = deal(blocks, weights)
+                while some := list(islice(rows, period)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), [pa.string(), *[pa.int64()] * 4], strict=True)], ["_s", "_block", "_slot", "_release", "_deadline"])
+
+    return spark.range(0, 1, 1, 1).mapInArrow(made, "_s string, _block long, _slot long, _release long, _deadline long")
 
 
 def tempered(blocks: dict[str, int], power: float) -> dict[str, float]:
@@ -98,9 +133,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     totals = {r[0]: r[1] for r in counts.groupBy("_s").agg(F.sum("_n")).collect()}
     blocks = {s: -(-n // block) for s, n in totals.items()}
     named = tempered(blocks, power) if weights is None else {s: weights.get(s[1:] if s != "n" else None, min(weights.values())) for s in blocks}
-    runs = plan(blocks, named, period)
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(r.source, r.first, r.last, r.share, r.width, r.start, r.slots) for r in runs], "_s string, _first long, _last long, _share long, _width long, _start long, _slots array<int>")
+    table = written(plan(docs.sparkSession, blocks, named, period))
     before = Window.partitionBy("_s").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_s", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
 
@@ -109,17 +142,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     ranked = held.withColumn("_rank", F.row_number().over(Window.partitionBy("_s", "_bucket").orderBy("_h", F.col(f"`{key}`"))) - 1)
     ranked = ranked.join(F.broadcast(first) if len(totals) * buckets <= SMALL_PLAN else first, ["_s", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     ranked = ranked.withColumn("_block", F.floor(F.col("_rank") / block))
-    p = F.broadcast(table) if len(runs) <= SMALL_PLAN else table
-    met = ranked.alias("d").join(p.alias("p"), (F.col("d._s") == F.col("p._s")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")))
-    i = F.col("_block") - F.col("_first")
-    turn = F.expr("(_block - _first) div _share")
-    slot = F.col("_start") + turn * F.col("_width") + F.get("_slots", (i % F.col("_share")).cast("int"))
+    p = F.broadcast(table) if sum(blocks.values()) <= SMALL_PLAN else table
+    met = ranked.join(p, ["_s", "_block"])
     return met.select(
         *columns,
         F.col("_block").alias(f"{prefix}block"),
-        slot.alias(f"{prefix}slot"),
-        (F.col("_start") + F.expr("((_block - _first) * _width) div _share")).alias(f"{prefix}release"),
-        (F.col("_start") + F.expr("((_block - _first + 1) * _width + _share - 1) div _share")).alias(f"{prefix}deadline"),
+        F.col("_slot").alias(f"{prefix}slot"),
+        F.col("_release").alias(f"{prefix}release"),
+        F.col("_deadline").alias(f"{prefix}deadline"),
         (F.col("_rank") % block).cast("int").alias(f"{prefix}place"),
     )
 

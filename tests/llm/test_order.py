@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -78,3 +79,38 @@ def test_shards_round_trip(spark, sf, tmp_path):
     whole = Counter(b"".join(bytes(r.ids)[: 2 * r.n_ids] for r in sorted(p, key=lambda r: r.number)).count(b"\x00\x00") > 0 for p in parts.values())
     assert whole[True] == len(parts)
     assert feistel_shards.materialise_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("blocks", "weights"),
+    [
+        ({"a": 200, "b": 200}, {"a": 0.8, "b": 0.2}),
+        ({"a": 4000, "b": 3, "c": 900}, {"a": 0.5, "b": 0.4, "c": 0.1}),
+        ({"a": 5000, "b": 7}, {"a": 0.9996, "b": 0.0004}),
+        ({f"s{i:02}": 4 for i in range(20)}, {f"s{i:02}": 1.0 + i for i in range(20)}),
+    ],
+)
+def test_no_source_is_a_block_off_its_target(blocks, weights):
+    got, left, target, t = dict.fromkeys(blocks, 0), dict(blocks), dict.fromkeys(blocks, Fraction(0)), 0
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    for slot, (s, i, at, release, deadline) in enumerate(pfair_mix.deal(blocks, weights)):
+        assert at == slot and i == got[s] and release <= slot < deadline
+        got[s] += 1
+        room = Fraction(1)  # this slot's share for each source that isn't dry
+        while room and (live := [k for k in blocks if target[k] < left[k]]):
+            total = sum(exact[k] for k in live)
+            step = min(room, *((left[k] - target[k]) * total / exact[k] for k in live))
+            for k in live:
+                target[k] += step * exact[k] / total
+            room -= step
+        assert all(abs(got[k] - target[k]) < 1 for k in blocks)
+    assert got == blocks
+
+
+def test_mix_follows_the_weights_at_the_production_period(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(4000)], "doc_id long, source string")
+    out = pfair_mix.mix(docs, weights={"a": 0.8, "b": 0.2}, block=10).collect()
+    for upto in (10, 100, 250):
+        assert abs(len({r.slot for r in out if r.source == "a" and r.slot < upto}) - 0.8 * upto) < 1
+    late = pfair_mix.mix(docs, weights={"a": 1, "b": 0}, block=10).collect()
+    assert max(r.slot for r in late if r.source == "a") == 199 and len({r.slot for r in late}) == 400
