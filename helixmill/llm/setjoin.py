@@ -279,8 +279,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """docs with one row of each component: that of the least id. Rows without words or id stay, all but one of repeated rows go."""
-    told = join(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width, num=num, den=den)
-    gone = told.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.lit(True).alias("_found")).distinct()
-    held = docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left").where(F.col("_found").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return held
+    """docs with one row of each component: that of the least id (null last), then of the least digest of its text.
+
+    Decided by row: an id may have rows in several components, and of rows with one id and one text one stays. Rows without words stay.
+    """
+    own = F.struct(F.col(f"`{key}`").isNull().alias("unnamed"), F.col(f"`{key}`").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.xxhash64(f"`{text}`", F.lit(1)).alias("g"))
+    told = join(docs.select(own.alias("doc_id"), F.col(f"`{text}`").alias("text")), width=width, num=num, den=den).where("n_shingles > 0")
+    counted = told.groupBy("doc_id").agg(F.first("component_id").alias("kept"), F.count(F.lit(1)).alias("n"))
+    verdict = F.when(F.col("doc_id") != F.col("kept"), "gone").when(F.col("n") > 1, "repeated")
+    told = written(counted.select(F.col("doc_id").alias("_own"), verdict.alias("_verdict")).where("_verdict is not null"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = docs.withColumn("_own", own).join(told, "_own", "left")
+    row = F.struct(*columns).alias("_row")
+    repeated = held.where("_verdict = 'repeated'").select("_own", row, F.xxhash64(*columns).alias("_h")).groupBy("_own").agg(F.min_by("_row", "_h").alias("_row"))
+    return held.where("_verdict is null").select(*columns).unionByName(repeated.select("_row.*"))

@@ -90,3 +90,13 @@ def test_keep_one(spark):
     kept = setjoin.keep_one(docs)
     assert kept.columns == docs.columns and sorted(kept.collect(), key=str) == sorted([r for r in docs.collect() if r.doc_id != 2], key=str)
     assert setjoin.join(docs.limit(0)).count() == 0
+
+
+def test_keep_one_decides_by_row(spark):
+    t, near, u = "a b c d e f", "A b c d  e f", "quite another text"
+    rows = [(3, t, 0), (7, t, 1), (7, u, 2), (8, "twice the same row", 3), (8, "twice the same row", 3), (9, "one id", 4), (9, "ONE id", 5), (None, u, 6), (None, "no id here", 7), (None, "no id here", 8), (5, "", 9), (5, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    kept = setjoin.keep_one(docs).collect()
+    assert sorted(r.n for r in kept if r.n not in (4, 5, 7, 8)) == [0, 2, 3, 9, 9]
+    assert sum(r.n in (4, 5) for r in kept) == 1 and sum(r.n in (7, 8) for r in kept) == 1
+    assert [r.n for r in setjoin.keep_one(spark.createDataFrame([(2, near, 0), (1, t, 1)], docs.schema)).collect()] == [1]
