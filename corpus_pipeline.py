@@ -1,7 +1,8 @@
 """A corpus pipeline over documents: language ID, near-duplicate join, secret scans, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the
-last return the columns of documents; the last returns the places of the packed pieces.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. The first three
+return the columns of documents; the mix adds mix_place, which the packing follows; the last
+returns the places of the packed pieces.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix of their sources."""
-    return pfair_mix.in_order(docs)
+    """All documents in the order of the mix of their sources, with their places in it."""
+    return pfair_mix.in_order(docs, numbered="mix_place")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in sequences of 2048 tokens."""
-    return gga_pack.pack_documents(docs)
+    """The places of all documents' pieces in sequences of 2048 tokens, which follow the mix."""
+    return gga_pack.pack_documents(docs, order="mix_place")
 
 
 STAGES = [("language", known_language), ("near_duplicates", one_of_each), ("secrets", without_secrets), ("mix", mixed), ("pack", packed)]

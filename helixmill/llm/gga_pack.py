@@ -8,6 +8,10 @@ well-filled bins of one parent whole, keeps of the other's bins those that its r
 still allow, and packs the displaced pieces best-fit, longest first. Pieces then take the places
 of their length by rank; ranks come from counts per length and hash bucket.
 
+Where the documents have an order, sequences follow it: ranges of SPAN places are packed each by
+itself, a range an island's work in one task. In a range, pieces of one length take their places in
+order, bins alike are spread over the range, and sequences are numbered by their first piece.
+
 Edge cases: a null or empty text is one piece of the end token alone; repeated rows are packed
 once each; an empty table gives an empty result; other columns of the input do not matter.
 """
@@ -19,6 +23,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +37,19 @@ from ._spark import written
 CAPACITY = 2048
 END = 0
 BUCKETS = 64
+#: Places of an order to a range: a period of the mix.
+SPAN = 16_000
 Packing = dict[tuple[int, ...], int]
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row for each piece: key, piece, start, length, ids_crc32, and its ids as little-endian unsigned 32-bit bytes if wanted.
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, order: str | None = None) -> DataFrame:
+    """A row for each piece: key, piece, start, length, ids_crc32, its ids as little-endian unsigned 32-bit bytes if wanted, and its document's place in an order if named.
 
     Only documents of more than `capacity` ids are cut: the first piece takes what the full ones leave.
     """
     path = path or _tokens.default_path()
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
-    schema = f"key {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"key {kind}, piece int, start long, length int, ids_crc32 long" + ", ids binary" * with_ids + ", order long" * (order is not None)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,9 +72,13 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
             if with_ids:
                 columns.append(pa.array(ids, pa.binary()))
                 names.append("ids")
+            if order is not None:
+                columns.append(batch.column(2).take(pa.array(at, pa.int64())))
+                names.append("order")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(cut, schema)
+    placed = [] if order is None else [F.col(order).cast("long").alias("order")]
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *placed).mapInArrow(cut, schema)
 
 
 class Bins:
@@ -251,6 +262,46 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS, **sea
     return ready.mapInArrow(place, schema)
 
 
+def fill(length: np.ndarray, capacity: int = CAPACITY, epochs: int = 3, population: int = 6, generations: int = 8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """sequence (from 0) and offset of each piece; the pieces are in order."""
+    total = Counter(length.tolist())
+    full = total.pop(capacity, 0)
+    alive: list[Packing] = []
+    for epoch in range(epochs if total else 0):
+        alive = evolve(total, alive[:2], capacity, population, generations, seed * 1000 + epoch)
+        if sum(alive[0].values()) <= lower_bound(total, capacity):
+            break
+    packing = (alive[0] if alive else {}) | ({(capacity,): full} if full else {})
+    bins = [b for _, b in sorted(((2 * j + 1) / (2 * n), b) for b, n in packing.items() for j in range(n))]
+    waiting = {s: iter(np.flatnonzero(length == s).tolist()) for s in set(length.tolist())}
+    sequence, offset, first = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), np.full(len(bins), np.iinfo(np.int64).max)
+    for k, b in enumerate(bins):
+        at = 0
+        for i in sorted(next(waiting[s]) for s in b):
+            sequence[i], offset[i] = k, at
+            first[k] = min(first[k], i)
+            at += int(length[i])
+    number = np.empty(len(bins), np.int64)
+    number[np.argsort(first)] = np.arange(len(bins))
+    return number[sequence], offset
+
+
+def pack_in_order(cut: DataFrame, capacity: int = CAPACITY, span: int = SPAN, **search_options) -> DataFrame:
+    """The rows of `cut` (see pieces, with an order) with sequence_id and offset; sequences follow the order up to ranges of `span` places."""
+    schema = T.StructType([*cut.schema.fields, T.StructField("range", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("order", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        sequence, offset = fill(table["length"].to_numpy(), capacity, **search_options)
+        return table.append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
+
+    packed = written(cut.withColumn("range", F.expr(f"order div {span}")).groupBy("range").applyInArrow(one, schema))
+    sizes = packed.groupBy("range").agg((F.max("sequence_id") + 1).alias("n")).orderBy("range").collect()  # a row for each range
+    starts = list(zip([r[0] for r in sizes], accumulate([0] + [r[1] for r in sizes]), strict=False))
+    first = cut.sparkSession.createDataFrame(starts, "range long, first long")
+    return packed.join(F.broadcast(first), "range").withColumn("sequence_id", F.col("sequence_id") + F.col("first")).drop("range", "first")
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The packed sequences themselves, from pieces with ids: sequence_id, ids (bytes), n_ids."""
     parts = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"), F.sum("length").alias("n_ids"))
@@ -258,7 +309,8 @@ def sequences(packed: DataFrame) -> DataFrame:
     return parts.select("sequence_id", joined.alias("ids"), "n_ids")
 
 
-def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """Tokenise and pack: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    packed = pack(written(pieces(docs, key, text, capacity=options.get("capacity", CAPACITY))), **options)
+def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", order: str | None = None, **options) -> DataFrame:
+    """Tokenise and pack: key, piece, start, length, ids_crc32, sequence_id, offset. Sequences follow the column `order`, if named."""
+    cut = written(pieces(docs, key, text, capacity=options.get("capacity", CAPACITY), order=order))
+    packed = pack(cut, **options) if order is None else pack_in_order(cut, **options)
     return packed.select(F.col("key").alias(key), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

@@ -154,7 +154,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     )
 
 
-def in_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in the order of the mix: ranges of slots, sorted."""
+def in_order(docs: DataFrame, numbered: str | None = None, **options) -> DataFrame:
+    """The rows of docs in the order of the mix: ranges of slots, sorted; `numbered` names a column for each row's place in that order."""
     mixed = mix(docs, prefix="_mix_", **options)
-    return mixed.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place").select(*[F.col(f"`{c}`") for c in docs.columns])
+    mixed = mixed.repartitionByRange("_mix_slot", "_mix_place").sortWithinPartitions("_mix_slot", "_mix_place")
+    number = F.col("_mix_slot") * options.get("block", BLOCK) + F.col("_mix_place")
+    return mixed.select(*[F.col(f"`{c}`") for c in docs.columns if c != numbered], *([number.alias(numbered)] if numbered else []))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from helixmill.llm import _tokens, gga_pack
+from helixmill.llm import _tokens, gga_pack, pfair_mix
 
 TEXTS = [None, "", "a", "word " * 5000, "<|endoftext|> hi", "日本 😀\x00 é", " \n\n  x", "same", "same"]
 
@@ -82,3 +82,22 @@ def test_empty_table_and_clashing_names(spark):
     assert gga_pack.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a", 2, 3)], "doc_id long, text string, offset long, length long")
     assert gga_pack.pack_documents(odd).count() == 1
+
+
+def test_packing_follows_the_mix(spark):
+    docs = spark.createDataFrame([(i, "word " * (200 + 7 * i % 300), "ab"[i % 2]) for i in range(400)] + [(None, "word " * 5000, "a"), (1, "", None)], "doc_id long, text string, source string")
+    made = {}
+    for weights in ({"a": 0.9, "b": 0.1}, {"a": 0.1, "b": 0.9}):
+        mixed = pfair_mix.in_order(docs, numbered="mix_place", weights=weights, block=4)
+        rows = gga_pack.pack_documents(mixed, order="mix_place", span=100).collect()
+        ends, pieces = {}, Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+        for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+            assert r.offset == ends.get(r.sequence_id, 0)
+            ends[r.sequence_id] = r.offset + r.length
+        assert max(ends.values()) <= 2048 and sorted(ends) == list(range(len(ends)))
+        assert len(ends) <= 1.1 * sum(r.length for r in rows) / 2048 + 5
+        early = [r.doc_id for r in rows if r.sequence_id < len(ends) // 4 and r.doc_id is not None]
+        made[weights["a"]] = pieces, {(r.doc_id, r.piece): r.sequence_id for r in rows}, sum(i % 2 == 0 for i in early) / len(early)
+    assert made[0.9][0] == made[0.1][0] == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in gga_pack.pack_documents(docs).collect())
+    assert made[0.9][1] != made[0.1][1] and made[0.9][2] > 0.75 > 0.25 > made[0.1][2]
+    assert gga_pack.pack_documents(mixed.limit(0), order="mix_place").count() == 0
