@@ -13,6 +13,7 @@ table gives an empty result; the order is fixed by the key and by how the input
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _tokens
 from ._bytes import U, mix
-from ._spark import written
+from ._spark import shared_dir, written
 
 LENGTH, RECORDS, END, ROUNDS = 2048, 2048, 0, 6
 
@@ -158,7 +159,42 @@ def read_from(folder: str, slot: int, count: int, records: int = RECORDS, length
     return np.concatenate(out) if out else np.zeros((0, length), "<u2")
 
 
-def materialise_documents(docs: DataFrame, seed: int = 20_240_229, key: str = "doc_id", text: str = "text", records: int = RECORDS) -> DataFrame:
-    """Tokenise and place: slot, shard, record, byte offset, n_ids, ids_crc32, documents, ids."""
-    placed = materialise(written(sequences(docs, key, text)), seed, records)
-    return placed.select("slot", "shard", "record", (F.col("record").cast("long") * 2 * LENGTH).alias("byte_offset"), "n_ids", F.crc32("ids").alias("ids_crc32"), F.col("keys").alias("doc_ids"), "ids")
+def _uri(spark: SparkSession, path: str) -> str:
+    """The path with its scheme."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().replace("file:///", "file:/").replace("file:/", "file:///")
+
+
+def materialise_documents(docs: DataFrame, seed: int = 20_240_229, key: str = "doc_id", text: str = "text", records: int = RECORDS, folder: str | None = None) -> DataFrame:
+    """Tokenise, place and write the shards: slot, shard, record, byte offset, n_ids, ids_crc32, documents, ids, and the shard's path and crc32.
+
+    Shards go to `folder`, a new one under the shared folder if none is named.
+    """
+    spark = docs.sparkSession
+    folder = folder or _uri(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    made = written(sequences(docs, key, text))
+    name = F.format_string("%s/shard-%08d.bin", F.lit(folder), F.col("shard"))
+    shards = written(write_shards(materialise(made, seed, records), folder).select("shard", name.alias("shard_path"), F.col("crc32").alias("shard_crc32")))
+    # places depend on part and number only: the ids, which the shards hold by now, don't move again
+    placed = materialise(made.drop("ids"), seed, records).join(F.broadcast(shards), "shard")
+    placed = placed.select("slot", "shard", "record", (F.col("record").cast("long") * 2 * LENGTH).alias("byte_offset"), "n_ids", F.col("keys").alias("doc_ids"), "shard_path", "shard_crc32")
+    names = [*placed.columns, "ids"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = file = None
+        for batch in batches:
+            ids = []
+            for path, at in zip(batch.column(6).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if path != held:
+                    if file is not None:
+                        file.close()
+                    store, inner = fs.FileSystem.from_uri(path)
+                    held, file = path, store.open_input_file(inner)
+                ids.append(file.read_at(2 * LENGTH, at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=names)
+        if file is not None:
+            file.close()
+
+    whole = placed.mapInArrow(read, ", ".join(f"{n} {t}" for n, t in placed.dtypes) + ", ids binary")
+    return whole.select("slot", "shard", "record", "byte_offset", "n_ids", F.crc32("ids").alias("ids_crc32"), "doc_ids", "ids", "shard_path", "shard_crc32")

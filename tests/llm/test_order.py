@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from helixmill.llm import _tokens, feistel_shards, pfair_mix
+from helixmill.llm import _tokens, feistel_shards, pfair_mix, queries
 
 
 @pytest.mark.parametrize("shares", [[1], [1, 1, 1], [7, 2, 1], [500, 300, 150, 49, 1], [3, 3, 3, 1]])
@@ -114,3 +116,14 @@ def test_mix_follows_the_weights_at_the_production_period(spark):
         assert abs(len({r.slot for r in out if r.source == "a" and r.slot < upto}) - 0.8 * upto) < 1
     late = pfair_mix.mix(docs, weights={"a": 1, "b": 0}, block=10).collect()
     assert max(r.slot for r in late if r.source == "a") == 199 and len({r.slot for r in late}) == 400
+
+
+def test_training_order_writes_its_shards(spark, sf):
+    rows = queries.op6_training_order(spark, sf).collect()
+    shards = {}
+    for r in sorted(rows, key=lambda r: r.slot):
+        shards.setdefault((r.shard, r.shard_path, r.shard_crc32), []).append(bytes(r.ids))
+    assert len({s for s, _, _ in shards}) == len(shards) == -(-len(rows) // feistel_shards.RECORDS)
+    for (_, path, crc), ids in shards.items():
+        data = Path(path.removeprefix("file://")).read_bytes()
+        assert data == b"".join(ids) and zlib.crc32(data) == crc
