@@ -4,9 +4,16 @@ Features are hashed byte n-grams of the lower-cased text, as shares of its n-gra
 SVMs decide between families, and between the languages of the family that won. All weights are
 linear in the shares, so that a text of any length is scored by one pass of gathers.
 
+The SVMs only tell languages from one another. Whether a text is of the chosen language at all is
+told by its mean log-likelihood ratio of trigrams, those of the language against any alike. A
+language's bound is set on labelled texts that its trigrams weren't counted on: between those of
+other languages and its own. The score is the lesser of the SVMs' and the likelihood's confidence,
+and under 0.5 for texts below the bound.
+
 Edge cases: a text that is null, empty or without a letter is `und` with score 0; rows with a null
 language or null id teach nothing (a null id counts as not held out); with one known language all
-other texts get it with score 1; with none at all they get `und`. Repeated rows are scored alike.
+other texts get it, with the score of their likelihood; with none at all they get `und`. A text
+without a trigram has the least likelihood. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -38,11 +45,13 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 ORDERS = (2, 3)
 BITS = 16
 UNKNOWN = "und"
+#: The n-grams of the likelihoods, and the weight of the alike ones in them.
+PROFILED, ALIKE = 3, 0.05
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """weights: a column for each one-versus-one model; pairs: the two classes that each tells apart."""
+    """weights: a row for each one-versus-one model, then one for each language's likelihood; pairs: the two classes that each model tells apart; bound, scale: of the likelihoods."""
 
     families: tuple[str, ...]
     languages: tuple[tuple[str, ...], ...]
@@ -50,6 +59,12 @@ class LanguageModel:
     language_pairs: tuple[tuple[int, int, int], ...]
     weights: np.ndarray
     bias: np.ndarray
+    bound: np.ndarray
+    scale: np.ndarray
+
+    @property
+    def duels(self) -> int:
+        return len(self.family_pairs) + len(self.language_pairs)
 
 
 def _grams(b: np.ndarray, n: int) -> np.ndarray:
@@ -111,7 +126,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     known = labelled.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return LanguageModel((), (), (), (), np.zeros((0, len(ORDERS) << BITS)), np.zeros(0))
+        return LanguageModel((), (), (), (), np.zeros((0, len(ORDERS) << BITS)), np.zeros(0), np.zeros(0), np.zeros(0))
     keep = F.lit(0)
     for code, n in sorted(sizes.items()):
         keep = F.when(F.col(lang) == code, F.lit(int(min(1.0, per_language / n) * (1 << 31)))).otherwise(keep)
@@ -131,17 +146,52 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     for yes, no in tasks:
         pick = np.flatnonzero(yes | no)
         fits.append(_svm([data[i] for i in pick], np.where(yes[pick], 1.0, -1.0), epochs, penalty, seed))
-    return LanguageModel(families, languages, family_pairs, language_pairs, np.array([w * 30 for w, _ in fits]).reshape(len(fits), len(ORDERS) << BITS), np.array([b for _, b in fits]))
+    profiles, bound, scale = _likelihoods(data, codes, [c for of in languages for c in of])
+    weights = np.concatenate([np.array([w * 30 for w, _ in fits]).reshape(len(fits), len(ORDERS) << BITS), profiles])
+    return LanguageModel(families, languages, family_pairs, language_pairs, weights, np.array([b for _, b in fits] + [0.0] * len(profiles)), bound, scale)
+
+
+def _likelihoods(data: list[tuple[np.ndarray, np.ndarray]], codes: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each language's log ratios as weights, the bound of its likelihood and the scale of the confidence around it; texts are scored by counts of the other half."""
+    base, turn = ORDERS.index(PROFILED) << BITS, {c: 0 for c in names}
+    half = np.zeros(len(data), int)
+    for i, c in enumerate(codes.tolist()):
+        half[i] = turn[c] % 2
+        turn[c] += 1
+
+    def profile(at: np.ndarray) -> np.ndarray:
+        mean = np.zeros(1 << BITS)
+        for i in at:
+            f, v = data[i]
+            mean[f[f >= base] - base] += v[f >= base] / 30
+        return np.log((1 - ALIKE) * mean / max(mean.sum(), 1e-9) * (1 << BITS) + ALIKE)
+
+    def likelihood(log: np.ndarray, i: int) -> float:
+        f, v = data[i]
+        return float(log[f[f >= base] - base] @ v[f >= base] / 30) if (f >= base).any() else np.log(ALIKE)
+
+    profiles, bound, scale = np.zeros((len(names), len(ORDERS) << BITS)), np.zeros(len(names)), np.ones(len(names))
+    for k, c in enumerate(names):
+        own = np.flatnonzero(codes == c)
+        profiles[k, base : base + (1 << BITS)] = profile(own)
+        of_half = [profile(own[half[own] != h] if len(own) > 1 else own) for h in (0, 1)]
+        seen = np.array([likelihood(of_half[half[i]], i) for i in range(len(data))])
+        others = seen[codes != c]
+        low, high = np.quantile(others, 0.99) if len(others) else np.log(ALIKE), np.quantile(seen[own], 0.005)
+        bound[k], scale[k] = min(low + (high - low) / 3, high), max(abs(high - low), 0.1) / 6
+    return profiles, bound, scale
 
 
 def margins(model: LanguageModel, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """A row's margin in each of the one-versus-one models."""
+    """A row's margin in each of the one-versus-one models, then its likelihood in each language."""
     out = np.tile(model.bias, (len(off) - 1, 1))
     for lo, hi in _bytes.runs(off):
         for a in range(lo, hi) if hi - lo == 1 else (lo,):
             b = a + 1 if hi - lo == 1 else hi
             for k, n in enumerate(ORDERS):
-                _add(out[a:b], model.weights[:, k << BITS : (k + 1) << BITS], data, off[a : b + 1], n)
+                rows = slice(None) if n == PROFILED else slice(0, model.duels)
+                _add(out[a:b, rows], model.weights[rows, k << BITS : (k + 1) << BITS], data, off[a : b + 1], n)
+    out[np.diff(off) < PROFILED, model.duels :] = np.log(ALIKE)
     return out
 
 
@@ -161,7 +211,7 @@ def _add(out: np.ndarray, weights: np.ndarray, data: np.ndarray, off: np.ndarray
 
 
 def decide(model: LanguageModel, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The language of each row and a confidence: that of the less certain of the two choices."""
+    """The language of each row and a confidence: that of the less certain of the two choices, or of the language's likelihood if less."""
     n, names = len(margin), np.array([c for of in model.languages for c in of])
     if not len(names):
         return np.full(n, UNKNOWN), np.zeros(n)
@@ -177,7 +227,8 @@ def decide(model: LanguageModel, margin: np.ndarray) -> tuple[np.ndarray, np.nda
             pick[here] += won
             sure[here] = np.minimum(sure[here], by)
         at += len(pairs)
-    return names[pick], 1 / (1 + np.exp(-np.minimum(sure, 50)))
+    inside = (margin[np.arange(n), model.duels + pick] - model.bound[pick]) / model.scale[pick]
+    return names[pick], 1 / (1 + np.exp(-np.clip(np.minimum(sure, inside), -50, 50)))
 
 
 def _vote(margin: np.ndarray, pairs: list[tuple[int, int]], classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +243,7 @@ def _vote(margin: np.ndarray, pairs: list[tuple[int, int]], classes: int) -> tup
             sums[:, c] += m
             least[:, c] = np.minimum(least[:, c], m)
     best = np.argmax(wins + sums / (1 + np.abs(sums).sum(1, keepdims=True)), 1)
-    return best, np.maximum(least[np.arange(n), best], 0)
+    return best, least[np.arange(n), best]
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", prefix: str = "") -> DataFrame:

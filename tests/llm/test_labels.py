@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helixmill.llm import _bytes, langid_svm, queries, toxicity_kn
 
@@ -83,3 +84,14 @@ def test_language_edges(spark):
     alone = langid_svm.train(docs.where("lang = 'en'"))
     assert {r.lang_pred for r in langid_svm.predict(docs.limit(5), alone).collect()} == {"en"}
     assert langid_svm.predict(odd.limit(0), model).count() == 0
+
+
+def test_unlearned_languages_and_junk_are_not_known(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid_svm.train(docs.where(~langid_svm.held_out() & (F.col("lang") != "es")))
+    held = docs.where(langid_svm.held_out())
+    clean, unlearned = held.where("lang != 'es'"), held.where("lang = 'es'")
+    assert langid_svm.keep_known(clean, model).count() >= 0.97 * clean.count()
+    assert langid_svm.keep_known(unlearned, model).count() <= 0.1 * unlearned.count()
+    junk = ["x", "0 1 2 3 a 4 5 6 7", "aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ" * 4, "zxqj wvkp qqqq", "\u4e2d\u6587\u6587\u672c"]
+    assert langid_svm.keep_known(spark.createDataFrame([(i, t, None) for i, t in enumerate(junk)], docs.schema), model).count() == 0
