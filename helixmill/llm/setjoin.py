@@ -1,17 +1,25 @@
 """Exact n-gram Jaccard join by set-relation skipping.
 
 A document's set holds 64-bit digests of its distinct word shingles. Documents with equal sets are
-one class and take part once. Sets of sizes that may link are cut into the same parts by digest
-range; with more parts than two linked sets can differ in, one part at least is equal, so that an
-index of (size band, position of the part, digest of the part) misses no link.
-
-Skipping works at two levels. Index lists are keyed by position, so that a probe of one position
-never meets the others, and lists with a single class, or whose sizes can't reach the threshold,
-are skipped whole. Answers are derived from those of similar sets: in a few rounds only the links of a
-list's classes to one of them are verified, another one each round, and classes so linked share one
-answer (their component). Only pairs of a list whose classes still have different answers are
-compared after that. Before any set is fetched, two sets' parity sketches bound their difference
-from below: what that rules out can't link.
+one class and take part once.
+
+Index. One global order of shingles, the rarer first, is made of counts over all documents in bins
+of fixed number; any total order is exact, and a full bin only prunes less. A class stands in the
+inverted lists of its first n - ceil(t * n) + 1 shingles, with its size and its position in them:
+two sets that link share one of these. Lists with a single class are dropped, and lists of shingles
+that very many documents hold are dealt out in chunks, so that no task holds one whole.
+
+Index-level skipping. If the first shingle that two sets share stands at positions i and j, they
+differ in i + j + |(n - i) - (m - j)| shingles at least. List entries are keyed by blocks of size and
+of position, and a probe meets only the blocks that this bound leaves open; within a block the bound
+itself and parity sketches decide before any set is fetched.
+
+Answer-level skipping. In some rounds one leader of each list is compared with the list's others.
+A class that links with a leader takes over its answer (their component), and keeps the leader, with
+the number of shingles in which the two differ, as its anchor. A list whose classes all have one
+answer is closed. In the lists still open, a pair's overlap is derived from that of its anchors, give
+or take the shingles in which each differs from its anchor; only pairs that this leaves undecided
+have their own sets compared.
 
 Sets are compared exactly, on 64-bit digests; two different shingles of one pair of documents
 share a digest with probability 2**-64. No list, component or set is capped or collected.
@@ -24,51 +32,26 @@ where the component has no other; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _bytes
 from ._bytes import U, WHITE_WORDS, mix
 from ._spark import cut, written
 
-#: Parts beyond the largest difference, which make up for parts that are empty in both sets.
-SPARE = 1
-#: The bit set that spares sets without any candidate the way to verification, in bits.
-SEEN_BITS = 23
+#: Bins of the shingle counts, and bins to a block of them, in bits.
+BIN_BITS, BLOCK_BITS = 20, 12
+#: Classes to a chunk of a long list, and pairs of one class to a copy of its set.
+CHUNK, FAN = 256, 64
 #: Longs in a parity sketch, and rounds of links to one class of a list.
 SKETCH, ROUNDS = 8, 3
-
-
-class Bands:
-    """Size bands: sets that may link lie in the same or in neighbouring bands. threshold = num / den."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.smallest = 1
-        while (self.smallest + self.smallest * den // num) * (den - num) // (den + num) < 1:  # under this, only equal sets link
-            self.smallest += 1
-        self.starts = [self.smallest]
-
-    def start(self, band: int) -> int:
-        while band >= len(self.starts):
-            self.starts.append(self.starts[-1] * self.den // self.num + 1)
-        return self.starts[band]
-
-    def of(self, size: int) -> int:
-        if size < self.smallest:
-            return -1
-        while size >= self.start(len(self.starts) - 1):
-            self.start(len(self.starts))
-        return int(np.searchsorted(self.starts, size, "right")) - 1
-
-    def parts(self, band: int) -> tuple[int, int]:
-        """Number of parts of a band, and the largest difference of two sets that link, of this band or of it and the next."""
-        most = self.start(band + 1) - 1
-        differ = (most + most * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-        return differ + 1 + SPARE, differ
+#: Bits for each wanted class, and the most bits, of the set that spares other classes the way to the join.
+SEEN_RATE, SEEN_MOST = 16, 27
 
 
 def set_of(h: np.ndarray) -> np.ndarray:
@@ -84,22 +67,6 @@ def class_of(s: np.ndarray) -> int:
     return int(mix(total + np.array([len(s)], U) * U(0x9E3779B97F4A7C15)).astype(np.int64)[0])
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """Keys of the index lists that a set is in."""
-    own, out = bands.of(len(s)), []
-    if own < 0:
-        return np.zeros(0, np.int64)
-    mixed = np.concatenate([np.zeros(1, U), np.cumsum(mix(s), dtype=U)])
-    for band in (own - 1, own) if own else (own,):
-        parts, differ = bands.parts(band)
-        at = np.searchsorted(((s >> U(32)) * U(parts)) >> U(32), np.arange(parts + 1, dtype=U))
-        value = mixed[at[1:]] - mixed[at[:-1]]
-        key = mix(value ^ mix(np.arange(parts, dtype=U) + U(band << 32)))
-        empty = at[1:] == at[:-1]
-        out.append(key[~empty] if empty.sum() <= parts - differ - 1 else key)
-    return np.concatenate(out).astype(np.int64)
-
-
 def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray]:
     data, off = _bytes.buffer(batch.column(column))
     for lo, hi in _bytes.runs(off):
@@ -109,43 +76,109 @@ def _sets(batch: pa.RecordBatch, column: int, width: int) -> Iterator[np.ndarray
             yield set_of(shingle[at[r] : at[r + 1]])
 
 
+def bins_of(s: np.ndarray) -> np.ndarray:
+    return (s >> U(64 - BIN_BITS)).astype(np.int64)
+
+
 def classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, n (set size), cls (digest of the set)."""
+    """A row for each document: key, n (set size), cls (digest of the set). Then, with `block`, each task's counts of shingles by bin, each of its classes once."""
     kind = dict(docs.select(F.col(key).alias("key")).dtypes)["key"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, counts, key_type = set(), np.zeros(1 << BIN_BITS, np.uint32), None
         for batch in batches:
-            found = [(len(s), class_of(s)) for s in _sets(batch, 1, width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["key", "n", "cls"])
+            n, cls, key_type = [], [], batch.column(0).type
+            for s in _sets(batch, 1, width):
+                c = class_of(s)
+                n.append(len(s))
+                cls.append(c)
+                if c not in seen:
+                    seen.add(c)
+                    np.add.at(counts, bins_of(s), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], ["key", "n", "cls", "block", "counts"])
+        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+        filled = np.flatnonzero(blocks.any(1)).tolist()
+        if filled:
+            packed = [blocks[b].astype("<u1" if blocks[b].max() < 256 else "<u4").tobytes() for b in filled]
+            none = pa.nulls(len(filled), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(filled), key_type), none, none, pa.array(filled, pa.int32()), pa.array(packed, pa.binary())], ["key", "n", "cls", "block", "counts"])
+
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, f"key {kind}, n long, cls long, block int, counts binary")
+
+
+def _added(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of one block's counts; holds one block whatever the number of parts."""
+    total = np.zeros(1 << BLOCK_BITS, np.int64)
+    for part in parts:
+        for data in part.column("counts").to_pylist():
+            total += np.frombuffer(data, "<u1" if len(data) == 1 << BLOCK_BITS else "<u4")
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()], pa.binary())], ["block", "counts"])
+
+
+def counted(found: DataFrame) -> bytes:
+    """The counts of all bins (a table of fixed size), from a written table of `classes`."""
+    counts = np.zeros((1 << BIN_BITS - BLOCK_BITS, 1 << BLOCK_BITS), "<u4")
+    for block, data in found.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_added, "block int, counts binary").collect():
+        counts[block] = np.frombuffer(data, "<u4")
+    return counts.tobytes()
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(read, f"key {kind}, n long, cls long")
 
+@lru_cache(maxsize=2)
+def ranks(counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of each bin: its rank in the order (eighths of a doubling), and the number of chunks of its shingles' lists."""
+    c = np.frombuffer(counts, "<u4").astype(np.int64)
+    longest = max(CHUNK, 8 * int(c.mean()))
+    return np.minimum(8 * np.log2(c + 1), 255).astype(np.uint8), (1 + c // longest).astype(np.int32)
 
-def listed(docs: DataFrame, text: str, width: int, num: int, den: int) -> DataFrame:
-    """list, cls: the index, each class once from each task that has it."""
+
+def ordered(s: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A set in the global order: by rank, then by digest."""
+    return s[np.argsort(rank[bins_of(s)], kind="stable")]
+
+
+def prefix(n: int, num: int, den: int) -> int:
+    """So many of a set's first shingles: sets that link share one of these."""
+    return n - -(-n * num // den) + 1 if n else 0
+
+
+def listed(docs: DataFrame, text: str, width: int, num: int, den: int, counts) -> DataFrame:
+    """list, chunk, chunks, cls, n, i: the index, each class once from each task that has it. counts: a broadcast of `counted`."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, seen = Bands(num, den), set()
-        lists, cls, held = [], [], 0
+        (rank, chunks), seen = ranks(counts.value), set()
+        lists, cls, size, held = [], [], [], 0
 
         def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(np.array(cls, np.int64), [len(x) for x in lists]))], ["list", "cls"])
+            at, m = np.concatenate(lists), np.array([len(x) for x in lists])
+            of, many = np.repeat(np.array(cls, np.int64), m), chunks[bins_of(at)]
+            i = np.arange(len(at)) - np.repeat(np.cumsum(m) - m, m)
+            chunk = (mix(of.astype(U)) % many.astype(U)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (at.astype(np.int64), chunk, many, of, np.repeat(np.array(size, np.int32), m), i.astype(np.int32))], ["list", "chunk", "chunks", "cls", "n", "i"])
 
         for batch in batches:
             for s in _sets(batch, 0, width):
                 c = class_of(s)
-                if c not in seen:
+                if len(s) and c not in seen:
                     seen.add(c)
-                    lists.append(signatures(s, bands))
+                    lists.append(ordered(s, rank)[: prefix(len(s), num, den)])
                     cls.append(c)
+                    size.append(len(s))
                     held += len(lists[-1])
                     if held > 1 << 17:
                         yield made()
-                        lists, cls, held = [], [], 0
+                        lists, cls, size, held = [], [], [], 0
         if lists:
             yield made()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(read, "list long, cls long")
+    return docs.select(F.col(text).alias("text")).mapInArrow(read, "list long, chunk int, chunks int, cls long, n int, i int")
+
+
+def shared_lists(index: DataFrame) -> DataFrame:
+    """The index without repeats, and without lists that hold a single class. Chunks of long lists stay as they are."""
+    once = index.repartition("list", "chunk").dropDuplicates(["list", "chunk", "cls"])
+    in_list = Window.partitionBy("list", "chunk").orderBy("cls")
+    beside = F.lag("cls").over(in_list).isNotNull() | F.lead("cls").over(in_list).isNotNull()
+    return once.withColumn("_shared", beside).where(F.col("_shared") | (F.col("chunks") > 1)).drop("_shared")
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -154,62 +187,74 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-def _may_link(x: str, y: str, num: int, den: int):
-    """Whether the sizes and sketches of two sides (structs n and parity) allow a link."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.get(f"{x}.parity", F.lit(i)).bitwiseXOR(F.get(f"{y}.parity", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
-    return (n * den >= m * num) & (m * den >= n * num) & (differ * (den + num) <= (n + m) * (den - num))
+def _placed(n: Column, i: Column, m: Column, j: Column, num: int, den: int) -> Column:
+    """Whether two sets of sizes n and m may link whose first common shingle is at i and j."""
+    return (i + j + F.abs((n - i) - (m - j))) * (den + num) <= (n + m) * (den - num)
+
+
+def _sketched(x: Column, y: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    """Whether two sets may link by their parity sketches."""
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return differ * (den + num) <= (n + m) * (den - num)
 
 
 def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """cls, items (the set as sorted unsigned 64-bit bytes) and parity of the wanted classes, one row for each."""
-    spark, mask = docs.sparkSession, (1 << SEEN_BITS) - 1
+    """cls, n, items (the set as sorted unsigned 64-bit bytes) and parity of the wanted classes, one row for each."""
+    spark = docs.sparkSession
+    log_bits = min(SEEN_MOST, max(16, (SEEN_RATE * wanted.count()).bit_length()))
+    mask = (1 << log_bits) - 1
     at = F.col("cls").bitwiseAND(F.lit(mask))
     words = wanted.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    bits = np.zeros((1 << SEEN_BITS) // 64, np.int64)
-    for i, word in words.collect():  # at most 2**SEEN_BITS / 64 rows
+    bits = np.zeros((1 << log_bits) // 64, np.int64)
+    for i, word in words.toLocalIterator():  # at most 2**SEEN_MOST / 64 rows
         bits[i] = word
     shared = spark.sparkContext.broadcast(bits)
 
-    def made(cls: list, items: list, parity: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(items, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["cls", "items", "parity"])
+    def made(cls: list, n: list, items: list, parity: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(items, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["cls", "n", "items", "parity"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()  # a class once from each task
         for batch in batches:
-            cls, items, parity, held = [], [], [], 0
+            cls, n, items, parity, held = [], [], [], [], 0
             for s in _sets(batch, 0, width):
                 c = class_of(s)
                 if len(s) and c not in seen and shared.value[(c & mask) >> 6] >> (c & 63) & 1:
                     seen.add(c)
                     cls.append(c)
+                    n.append(len(s))
                     items.append(s.astype("<u8").tobytes())
                     parity.append(parities(s))
                     held += 8 * len(s)
                     if held > 1 << 22:
-                        yield made(cls, items, parity)
-                        cls, items, parity, held = [], [], [], 0
-            yield made(cls, items, parity)
+                        yield made(cls, n, items, parity)
+                        cls, n, items, parity, held = [], [], [], [], 0
+            yield made(cls, n, items, parity)
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "cls long, items binary, parity array<long>")
-    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("items").alias("items"), F.first("parity").alias("parity"))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "cls long, n int, items binary, parity array<long>")
+    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "items", "parity")])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, common: of written pairs (a, b), the size of their intersection. The set of an `a` with many pairs is copied, and its pairs are dealt out to the copies."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            common = np.zeros(batch.num_rows, np.int32)
             for r, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(x) + len(y) - len(set_of(np.concatenate([x, y])))
-                keep[r] = den * common >= num * (len(x) + len(y) - common)
-            yield batch.filter(pa.array(keep)).select([0, 1])
+                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")]))
+                common[r] = np.count_nonzero(both[1:] == both[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], ["a", "b", "common"])
+
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
+    copies = sets.join(fans, sets["cls"] == fans["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("copy"), F.col("items").alias("x"))
+    dealt = pairs.join(fans, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
+    others = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
+    return written(dealt.join(others, "b").join(copies, ["a", "copy"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, common int"))
+
 
-    with_a = pairs.join(sets.withColumnRenamed("cls", "a").withColumnRenamed("items", "x"), "a")
-    both = with_a.join(sets.withColumnRenamed("cls", "b").withColumnRenamed("items", "y"), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+def _linked(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
+    return common * (den + num) >= (n + m) * num
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,49 +273,148 @@ def components(links: DataFrame) -> DataFrame:
             return label.withColumnRenamed("u", "node").withColumnRenamed("l", "root")
 
 
-def links(docs: DataFrame, text: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links that were needed and verified, components of the classes that have any: node, root)."""
-    in_list = Window.partitionBy("list").orderBy("cls")
-    beside = [F.coalesce(f("cls").over(in_list) != F.col("cls"), F.lit(False)) for f in (F.lag, F.lead)]
-    shared = listed(docs, text, width, num, den).select("list", "cls", (beside[0] | beside[1]).alias("_shared"))
-    entries = written(shared.where("_shared").select("list", "cls").distinct())
-    sets = written(_stored_sets(docs, entries.select("cls").distinct(), text, width))
-    about = sets.select("cls", F.struct((F.length("items") / 8).cast("long").alias("n"), "parity").alias("about"))
-    pair = [F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")]
-    tried = answer = found = None
-    for turn in range(ROUNDS + 1):
-        told = entries.withColumn("root", F.col("cls"))
-        if answer is not None:
-            told = entries.join(answer.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        told = written(told)
-        one = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root")).alias("one")
-        open_lists = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), one).where("low != high")
-        if turn < ROUNDS:  # one class of each list against the others
-            x, y = open_lists.select("list", "one.cls", "one.root").alias("x"), told.alias("y")
-            met = x.join(y, (F.col("x.list") == F.col("y.list")) & (F.col("x.root") != F.col("y.root"))).select(*pair).distinct()
-            if tried is not None:
-                met = met.join(tried, ["a", "b"], "left_anti")
-            met = written(met)
-            tried = met if tried is None else tried.unionByName(met)
-            sides = met.join(about.withColumnsRenamed({"cls": "a", "about": "x"}), "a").join(about.withColumnsRenamed({"cls": "b", "about": "y"}), "b")
-            pairs = sides.where(_may_link("x", "y", num, den)).select("a", "b")
-            entries = told.join(open_lists.select("list"), "list", "left_semi").select("list", "cls")
-        else:  # all pairs with different answers
-            rest = told.join(open_lists.select("list", "low"), "list").join(about, "cls")
-            x, y = rest.alias("x"), rest.where("root != low").alias("y")
-            met = (F.col("x.list") == F.col("y.list")) & (F.col("x.root") < F.col("y.root")) & _may_link("x.about", "y.about", num, den)
-            pairs = x.join(y, met).select(*pair).distinct().join(tried, ["a", "b"], "left_anti")
-        good = _verified(written(pairs), sets.select("cls", "items"), num, den)
-        found = good if found is None else found.unionByName(good)
-        if answer is None or not good.isEmpty():
-            answer = components(found)
-    return found, answer
+class Join:
+    """The state of one join: the open lists, the sets of their classes, what was compared and what links."""
+
+    def __init__(self, docs: DataFrame, text: str, width: int, num: int, den: int, found: DataFrame):
+        self.num, self.den = num, den
+        counts = docs.sparkSession.sparkContext.broadcast(counted(found))
+        self.entries = written(shared_lists(listed(docs, text, width, num, den, counts)))
+        self.sets = written(_stored_sets(docs, self.entries.select("cls").distinct(), text, width))
+        self.sizes = self.sets.select("cls", "n")
+        self.sketches = self.sets.select("cls", "n", "parity")
+        self.tried = self.links = self.anchors = self.answer = None
+
+    def told(self) -> DataFrame:
+        """The entries with their present answers."""
+        if self.answer is None:
+            return self.entries.withColumn("root", F.col("cls"))
+        answer = self.answer.withColumnRenamed("node", "cls")
+        return self.entries.join(answer, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b), each once, that may link by their sketches and weren't compared before."""
+        pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+        if self.tried is not None:
+            pairs = pairs.join(self.tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti")
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+        x, y = (self.sketches.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"p_{s}")) for s in ("a", "b"))
+        met = pairs.join(x, "a").join(y, "b")
+        return met.where(_sketched(F.col("p_a"), F.col("p_b"), F.col("n_a"), F.col("n_b"), self.num, self.den)).select("a", "b", "n_a", "n_b")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Written pairs (a, b, n_a, n_b) with the size of their intersection."""
+        return overlaps(pairs.select("a", "b"), self.sets).join(pairs, ["a", "b"])
+
+    def link(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs with `common` that link; they are added to the links."""
+        good = written(pairs.where(_linked(F.col("common"), F.col("n_a"), F.col("n_b"), self.num, self.den)))
+        self.links = good.select("a", "b") if self.links is None else self.links.unionByName(good.select("a", "b"))
+        return good
+
+    def round(self, turn: int) -> bool:
+        """One leader of each list against the others. Whether any list is still open before it."""
+        told = written(self.told())
+        one = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root", "n", "i")).alias("one")
+        open_ = written(told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks"), one).where("low != high"))
+        if open_.isEmpty():
+            self.entries = self.entries.limit(0)
+            return False
+        leads = open_.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *[F.col(f"one.{c}").alias(f"x_{c}") for c in ("cls", "root", "n", "i")])
+        met = leads.join(told, ["list", "chunk"])
+        good = (F.col("x_root") != F.col("root")) & _placed(F.col("x_n"), F.col("x_i"), F.col("n"), F.col("i"), self.num, self.den)
+        pairs = written(self.untried(met.where(good).select(F.col("x_cls").alias("a"), F.col("cls").alias("b"))))
+        done = written(self.compared(pairs))
+        self.tried = done.select("a", "b") if self.tried is None else self.tried.unionByName(done.select("a", "b"))
+        good = self.link(done)
+        anchors = good.select(F.col("b").alias("cls"), F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("differ"), F.col("a").alias("anchor"), F.col("n_a").alias("n"), "common").alias("x"))
+        self.anchors = anchors if self.anchors is None else self.anchors.unionByName(anchors)
+        if not good.isEmpty():
+            self.answer = components(self.links)
+        self.entries = written(told.drop("root").join(open_.select("list"), "list", "left_semi"))
+        return True
+
+    def blocks(self, told: DataFrame, every: bool) -> DataFrame:
+        """All pairs (a, b) of a list that may link by size and position and, unless `every`, have different answers."""
+        step = 1.01 * log(self.den / self.num) or 1.0
+        band = lambda n: F.floor(F.log(n) / step)
+        at = lambda i: F.floor(F.log2(i + 1))
+        n, i = F.col("n"), F.col("i")
+        room = F.floor((n + n * self.den / self.num) * (self.den - self.num) / (self.den + self.num)) - i  # the other's position at most
+        y = told.select("list", band(n).alias("band"), at(i).alias("at"), F.col("chunk").alias("other"), *[F.col(c).alias(f"y_{c}") for c in ("cls", "root", "n", "i")])
+        # a set probes its own band of sizes and the next, positions up to what is left, and all chunks
+        x = told.where(room >= 0).withColumn("band", F.explode(F.sequence(band(n), band(n) + 1))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), at(room)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        met = x.join(y, ["list", "band", "at", "other"])
+        smaller = (F.col("n") < F.col("y_n")) | ((F.col("n") == F.col("y_n")) & (F.col("cls") < F.col("y_cls")))
+        good = smaller & _placed(n, i, F.col("y_n"), F.col("y_i"), self.num, self.den)
+        if not every:
+            good = good & (F.col("root") != F.col("y_root"))
+        return met.where(good).select(F.col("cls").alias("a"), F.col("y_cls").alias("b"))
+
+    def rest(self, every: bool = False) -> None:
+        """All pairs that the rounds left open; with `every`, all pairs."""
+        told = self.told()
+        if not every:
+            open_ = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+            told = told.join(open_.select("list"), "list", "left_semi")
+        pairs = written(self.untried(self.blocks(written(told), every)))
+        if pairs.isEmpty():
+            return
+        self.link(self.derived(pairs) if self.anchors is not None else self.compared(pairs))
+
+    def derived(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with `common`, from the intersection of their anchors where that decides; the lower bound stands for what links for sure, and what can't link is left out."""
+        nearest = written(self.anchors.groupBy("cls").agg(F.min("x").alias("x")))
+        sides = pairs
+        for s in ("a", "b"):
+            own = F.struct(F.lit(0).alias("differ"), F.col(s).alias("anchor"), F.col(f"n_{s}").alias("n"), F.col(f"n_{s}").alias("common"))
+            sides = sides.join(nearest.select(F.col("cls").alias(s), F.col("x").alias(f"x_{s}")), s, "left").withColumn(f"x_{s}", F.coalesce(f"x_{s}", own))
+        sides = written(sides)
+        # worth while where an anchor stands for another class at least
+        key = [F.least("x_a.anchor", "x_b.anchor").alias("p"), F.greatest("x_a.anchor", "x_b.anchor").alias("q")]
+        sides = sides.select("*", *key)
+        same = F.col("p") == F.col("q")
+        bases = written(sides.where(~same).groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
+        known = overlaps(bases, self.sets).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("base"))
+        held = sides.join(known, ["p", "q"], "left").withColumn("base", F.when(same, F.col("x_a.n")).otherwise(F.col("base")))
+        more = (F.col("n_a") - F.col("x_a.common")) + (F.col("n_b") - F.col("x_b.common"))
+        less = (F.col("x_a.n") - F.col("x_a.common")) + (F.col("x_b.n") - F.col("x_b.common"))
+        bounded = written(held.select("a", "b", "n_a", "n_b", (F.col("base") - less).alias("least"), (F.col("base") + more).alias("most")))
+        linked = lambda c: F.coalesce(_linked(F.col(c), F.col("n_a"), F.col("n_b"), self.num, self.den), F.lit(c == "most"))
+        sure = bounded.where(linked("least")).select("a", "b", "n_a", "n_b", F.col("least").cast("int").alias("common"))
+        unsure = written(bounded.where(linked("most") & ~linked("least")).select("a", "b", "n_a", "n_b"))
+        return sure.unionByName(self.compared(unsure).select("a", "b", "n_a", "n_b", "common"))
+
+
+def links(docs: DataFrame, text: str, width: int, num: int, den: int, found: DataFrame) -> DataFrame:
+    """node, root: the components of the classes that have any link. `found`: the written classes."""
+    state = Join(docs, text, width, num, den, found)
+    for turn in range(ROUNDS):
+        if not state.round(turn):
+            break
+    before = state.links
+    state.rest()
+    if state.links is None:
+        return state.entries.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
+    if state.answer is None or state.links is not before:
+        state.answer = components(state.links)
+    return state.answer
+
+
+def linked_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The join in full: (key, cls) of each document with words, and (a, b) for each pair of classes that link."""
+    found = written(classes(docs, key, text, width))
+    state = Join(docs, text, width, num, den, found)
+    state.rest(every=True)
+    pairs = state.links if state.links is not None else state.entries.select(F.col("cls").alias("a"), F.col("cls").alias("b")).limit(0)
+    return found.where("n > 0").select(F.col("key").alias(key), "cls"), pairs
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """A row for each document: key, n_shingles, component_id (the least id that links reach), cls (digest of its set, null if empty)."""
     found = written(classes(docs, key, text, width))
-    _, answer = links(docs, text, width, num, den)
+    answer = links(docs, text, width, num, den, found)
+    found = found.where("block is null")
     per_class = found.where("n > 0").groupBy("cls").agg(F.min("key").alias("least")).join(answer.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
     told = written(per_class.join(least, "root").select("cls", "component_id"))

@@ -69,19 +69,31 @@ def test_chains_join_through_members_that_are_not_first(spark):
     assert got == brute(rows) and len({c for _, _, c in got}) == 1
 
 
-def test_signatures_miss_no_link():
+@pytest.mark.parametrize("seed", range(2))
+def test_all_linked_pairs(spark, seed):
+    rows = noisy(seed, 160)
+    of, pairs = setjoin.linked_pairs(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets, cls = {k: frozenset(shingles(t)) for k, t in rows}, {r.doc_id: r.cls for r in of.collect()}
+    distinct = {cls[k]: s for k, s in sets.items()}
+    assert len(distinct) == len(set(sets.values()))
+    want = {(min(a, b), max(a, b)) for a, x in distinct.items() for b, y in distinct.items() if a < b and 100 * len(x & y) >= 90 * len(x | y)}
+    got = [(min(r), max(r)) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_first_shingles_of_linked_sets_meet():
     rng = np.random.default_rng(5)
-    bands = setjoin.Bands(90, 100)
-    for size in [*range(9, 60), 100, 333, 1000]:
-        for _ in range(20):
-            x = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2)
-            drop, add = rng.integers(0, size // 10 + 1), rng.integers(0, size // 8 + 1)
-            y = np.concatenate([x[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64)])
-            x, y = setjoin.set_of(x), setjoin.set_of(y)
+    rank = rng.integers(0, 9, 1 << setjoin.BIN_BITS).astype(np.uint8)
+    for num in (80, 90):
+        for size in [*range(1, 60), 100, 333, 1000]:
+            x = setjoin.set_of(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            y = setjoin.set_of(np.concatenate([x[rng.integers(0, size // 10 + 1) :], rng.integers(0, 1 << 63, rng.integers(0, size // 8 + 1), dtype=np.uint64)]))
             common = len(np.intersect1d(x, y))
-            if 100 * common >= 90 * (len(x) + len(y) - common):
-                same = len(x) == len(y) == common
-                assert same or np.intersect1d(setjoin.signatures(x, bands), setjoin.signatures(y, bands)).size
+            if 100 * common >= num * (len(x) + len(y) - common):
+                first = [setjoin.ordered(s, rank)[: setjoin.prefix(len(s), num, 100)].tolist() for s in (x, y)]
+                at = next(i for i, s in enumerate(first[0]) if s in first[1])
+                i, j = at, first[1].index(first[0][at])
+                assert (i + j + abs(len(x) - i - len(y) + j)) * (100 + num) <= (len(x) + len(y)) * (100 - num)
 
 
 def test_keep_one(spark):
