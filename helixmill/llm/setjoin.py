@@ -45,7 +45,7 @@ from ._bytes import U, WHITE_WORDS, mix
 from ._spark import cut, written
 
 #: Bins of the shingle counts, and bins to a block of them, in bits.
-BIN_BITS, BLOCK_BITS = 20, 12
+BIN_BITS, BLOCK_BITS = 21, 12
 #: Classes to a chunk of a long list, and pairs of one class to a copy of its set.
 CHUNK, FAN = 256, 64
 #: Longs in a parity sketch, and rounds of links to one class of a list.
@@ -173,12 +173,12 @@ def listed(docs: DataFrame, text: str, width: int, num: int, den: int, counts) -
     return docs.select(F.col(text).alias("text")).mapInArrow(read, "list long, chunk int, chunks int, cls long, n int, i int")
 
 
-def shared_lists(index: DataFrame) -> DataFrame:
-    """The index without repeats, and without lists that hold a single class. Chunks of long lists stay as they are."""
+def shared_lists(index: DataFrame, num: int, den: int) -> DataFrame:
+    """The index without repeats and without entries that no other class of their list comes near in size. Chunks of long lists stay as they are."""
     once = index.repartition("list", "chunk").dropDuplicates(["list", "chunk", "cls"])
-    in_list = Window.partitionBy("list", "chunk").orderBy("cls")
-    beside = F.lag("cls").over(in_list).isNotNull() | F.lead("cls").over(in_list).isNotNull()
-    return once.withColumn("_shared", beside).where(F.col("_shared") | (F.col("chunks") > 1)).drop("_shared")
+    in_list = Window.partitionBy("list", "chunk").orderBy("n", "cls")
+    beside = (F.lag("n").over(in_list) * den >= F.col("n") * num) | (F.col("n") * den >= F.lead("n").over(in_list) * num)
+    return once.withColumn("_shared", F.coalesce(beside, F.lit(False))).where(F.col("_shared") | (F.col("chunks") > 1)).drop("_shared")
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -279,7 +279,7 @@ class Join:
     def __init__(self, docs: DataFrame, text: str, width: int, num: int, den: int, found: DataFrame):
         self.num, self.den = num, den
         counts = docs.sparkSession.sparkContext.broadcast(counted(found))
-        self.entries = written(shared_lists(listed(docs, text, width, num, den, counts)))
+        self.entries = written(shared_lists(listed(docs, text, width, num, den, counts), num, den))
         self.sets = written(_stored_sets(docs, self.entries.select("cls").distinct(), text, width))
         self.sizes = self.sets.select("cls", "n")
         self.sketches = self.sets.select("cls", "n", "parity")
@@ -313,9 +313,10 @@ class Join:
         return good
 
     def round(self, turn: int) -> bool:
-        """One leader of each list against the others. Whether any list is still open before it."""
+        """One leader of each list against the others: lists with common classes take the same leader at first, and each its own later. Whether any list is still open before it."""
         told = written(self.told())
-        one = F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root", "n", "i")).alias("one")
+        seed = ["cls", *(["list"] if turn else []), F.lit(turn)]
+        one = F.min(F.struct(F.xxhash64(*seed).alias("h"), "cls", "root", "n", "i")).alias("one")
         open_ = written(told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks"), one).where("low != high"))
         if open_.isEmpty():
             self.entries = self.entries.limit(0)
