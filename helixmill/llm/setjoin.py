@@ -187,6 +187,11 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
+def _log(i: Column) -> Column:
+    """The block of a position."""
+    return F.floor(F.log2(i + 1))
+
+
 def _placed(n: Column, i: Column, m: Column, j: Column, num: int, den: int) -> Column:
     """Whether two sets of sizes n and m may link whose first common shingle is at i and j."""
     return (i + j + F.abs((n - i) - (m - j))) * (den + num) <= (n + m) * (den - num)
@@ -313,10 +318,10 @@ class Join:
         return good
 
     def round(self, turn: int) -> bool:
-        """One leader of each list against the others: lists with common classes take the same leader at first, and each its own later. Whether any list is still open before it."""
+        """One leader of each list against the others: it stands at the head of its set, where the bound leaves most of the list open; lists with common classes take the same leader at first, and each its own later. Whether it found any link."""
         told = written(self.told())
         seed = ["cls", *(["list"] if turn else []), F.lit(turn)]
-        one = F.min(F.struct(F.xxhash64(*seed).alias("h"), "cls", "root", "n", "i")).alias("one")
+        one = F.min(F.struct(_log(F.col("i")).alias("at"), F.xxhash64(*seed).alias("h"), "cls", "root", "n", "i")).alias("one")
         open_ = written(told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks"), one).where("low != high"))
         if open_.isEmpty():
             self.entries = self.entries.limit(0)
@@ -330,21 +335,21 @@ class Join:
         good = self.link(done)
         anchors = good.select(F.col("b").alias("cls"), F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("differ"), F.col("a").alias("anchor"), F.col("n_a").alias("n"), "common").alias("x"))
         self.anchors = anchors if self.anchors is None else self.anchors.unionByName(anchors)
-        if not good.isEmpty():
-            self.answer = components(self.links)
         self.entries = written(told.drop("root").join(open_.select("list"), "list", "left_semi"))
+        if good.isEmpty():
+            return False
+        self.answer = components(self.links)
         return True
 
     def blocks(self, told: DataFrame, every: bool) -> DataFrame:
         """All pairs (a, b) of a list that may link by size and position and, unless `every`, have different answers."""
         step = 1.01 * log(self.den / self.num) or 1.0
         band = lambda n: F.floor(F.log(n) / step)
-        at = lambda i: F.floor(F.log2(i + 1))
         n, i = F.col("n"), F.col("i")
         room = F.floor((n + n * self.den / self.num) * (self.den - self.num) / (self.den + self.num)) - i  # the other's position at most
-        y = told.select("list", band(n).alias("band"), at(i).alias("at"), F.col("chunk").alias("other"), *[F.col(c).alias(f"y_{c}") for c in ("cls", "root", "n", "i")])
+        y = told.select("list", band(n).alias("band"), _log(i).alias("at"), F.col("chunk").alias("other"), *[F.col(c).alias(f"y_{c}") for c in ("cls", "root", "n", "i")])
         # a set probes its own band of sizes and the next, positions up to what is left, and all chunks
-        x = told.where(room >= 0).withColumn("band", F.explode(F.sequence(band(n), band(n) + 1))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), at(room)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        x = told.where(room >= 0).withColumn("band", F.explode(F.sequence(band(n), band(n) + 1))).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), _log(room)))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         met = x.join(y, ["list", "band", "at", "other"])
         smaller = (F.col("n") < F.col("y_n")) | ((F.col("n") == F.col("y_n")) & (F.col("cls") < F.col("y_cls")))
         good = smaller & _placed(n, i, F.col("y_n"), F.col("y_i"), self.num, self.den)
