@@ -18,20 +18,49 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def scanned(items: Column, zero: Column, out: str, step) -> Column:
+    """Struct of a state and the array<out> that the items add to, one after another: step(state, item) gives (state, array to add).
+
+    Items go by blocks of about the square root of their number, since adding to an array copies it.
+    """
+
+    def block(state: Column, some: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, more = step(a["state"], x)
+            return F.struct(after.alias("state"), F.concat(a["out"], more).alias("out"))
+
+        return F.aggregate(some, F.struct(state.alias("state"), F.array().cast(f"array<{out}>").alias("out")), one)
+
+    def walk(held: Column) -> Column:
+        size = F.size(held)
+        wide = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
+        starts = F.when(size > 0, F.sequence(F.lit(1), size, wide)).otherwise(F.array().cast("array<int>"))
+        done = F.aggregate(
+            starts,
+            F.struct(zero.alias("state"), F.array().cast(f"array<array<{out}>>").alias("outs")),
+            lambda a, k: let(block(a["state"], F.slice(held, k, wide)), lambda r: F.struct(r["state"].alias("state"), F.concat(a["outs"], F.array(r["out"])).alias("outs"))),
+        )
+        return let(done, lambda d: F.struct(d["state"].alias("state"), F.flatten(d["outs"]).alias("out")))
+
+    return let(items, walk)
+
+
 def spans_of(text: Column, pattern: str) -> Column:
     """All matches, leftmost and non-overlapping, as array<struct<start, end, value>>."""
     p = F.lit(pattern)
     found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
     sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value")))
-    walked = F.aggregate(
-        sized,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + x["gap"] + x["size"]).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["size"]).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-    )
-    return walked["out"]
+
+    def step(at: Column, x: Column):
+        start = at + x["gap"]
+        return start + x["size"], F.array(F.struct(start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value")))
+
+    return scanned(sized, F.lit(0), "struct<start:int,end:int,value:string>", step)["out"]
 
 
 @dataclass(frozen=True)
@@ -67,17 +96,34 @@ def counted(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
-def replaced(text: Column, spans: Column, names: list[str]) -> Column:
-    """The text with each span, from left to right and without those that overlap an earlier one, replaced by its kind in brackets."""
+def replaced(text: Column, spans: Column, label) -> Column:
+    """The text with each span, from left to right and without those that overlap an earlier one, replaced by label(span).
+
+    It is cut into stretches of about the square root of the spans' number first, since each cut walks from the head.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("label"))))
+
+    def keep(at: Column, s: Column):
+        return F.when(s["start"] >= at, s["end"]).otherwise(at), F.when(s["start"] >= at, F.array(s)).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>"))
+
+    def put(stretch: Column, first: Column, some: Column) -> Column:
+        """A stretch of the text from `first` on, with the spans in it replaced."""
+        ends = F.concat(F.array(first), F.transform(some, lambda s: s["end"]))
+        cuts = F.zip_with(F.slice(ends, F.lit(1), F.size(some)), some, lambda e, s: F.concat(F.substring(stretch, e - first + 1, s["start"] - e), s["label"]))
+        return F.concat(F.array_join(cuts, ""), F.substring(stretch, F.element_at(ends, -1) - first + 1, F.length(stretch)))
+
+    def walk(kept: Column) -> Column:
+        size = F.size(kept)
+        wide = F.greatest(F.ceil(F.sqrt(size)).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(size, F.lit(1)), wide)
+        first = lambda k: F.when(k == 1, F.lit(0)).otherwise(F.get(kept, k - 1)["start"])
+        last = lambda k: F.when(k + wide > size, F.length(text)).otherwise(F.get(kept, k + wide - 1)["start"])
+        return F.array_join(F.transform(starts, lambda k: put(F.substring(text, first(k) + 1, last(k) - first(k)), first(k), F.slice(kept, k, wide))), "")
+
+    return F.when(F.size(spans) > 0, let(scanned(ordered, F.lit(0), "struct<start:int,end:int,label:string>", keep)["out"], walk)).otherwise(text)
+
+
+def bracketed(names: list[str]):
+    """Labels of spans by their kind: its name in brackets."""
     named = F.array(*[F.lit(f"[{n.upper()}]") for n in names])
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    walked = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(named, s["kind"]))).alias("out")),
-        ).otherwise(a),
-    )
-    done = F.concat(F.array_join(walked["out"], ""), F.substring(text, walked["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return lambda s: F.get(named, s["kind"])

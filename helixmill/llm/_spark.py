@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (local tests) a temporary folder is made, and removed at exit.
+    Only where a local session names none (tests) a temporary folder is made, and removed at exit.
     """
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get()
     named = sc.getConf().get("spark.checkpoint.dir", "")
+    if not named and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="helixmill-")
         atexit.register(shutil.rmtree, named, True)

@@ -10,6 +10,7 @@ import base64
 
 import numpy as np
 import tiktoken
+from tokenizers import Tokenizer
 
 #: Fixed value: the vocabulary's special token.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -22,6 +23,7 @@ def default_path() -> str:
 
 
 _encoders: dict[str, tiktoken.Encoding] = {}
+_plain: dict[str, Tokenizer] = {}
 
 
 def encoder(path: str) -> tiktoken.Encoding:
@@ -35,6 +37,18 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def plain(path: str) -> Tokenizer:
+    """The worker's encoder by the library that defines the ids: the JSON file of the same name."""
+    if path not in _plain:
+        _plain[path] = Tokenizer.from_file(f"{path.removesuffix('.tiktoken')}.json")
+    return _plain[path]
+
+
 def ids(path: str, text: str | None) -> np.ndarray:
-    """The ids of a whole text (null: none), unsigned 32-bit."""
-    return encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4") if text else np.zeros(0, "<u4")
+    """The ids of a whole text (null: none), unsigned 32-bit. Texts whose runs of white space are too long for the fast encoder's backtracking take the plain one."""
+    if not text:
+        return np.zeros(0, "<u4")
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+    except ValueError:
+        return np.array(plain(path).encode(text, add_special_tokens=False).ids, "<u4")

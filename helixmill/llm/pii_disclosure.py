@@ -1,14 +1,18 @@
 """Personal data, and the terms that disclose it: information-theoretic sanitisation.
 
 Protected entities are the base spans: mail addresses, IPv4 addresses, card and phone numbers. A
-term (a word of four or more letters) near an entity discloses it as far as the corpus ties the
-two: PMI(entity, term) / IC(entity), both from counts of documents, is 1 if the term occurs only in
+term (a run of letters, outside of mail addresses) discloses an entity as far as the corpus ties the
+two: PMI(entity, term) / IC(entity), from counts of whole documents, is 1 if the term occurs only in
 documents with the entity. Terms at or over `remove` are to be removed, those at or over
-`generalise` to be replaced by a general word. A pair must occur near each other in `support`
-distinct texts, so that copies alone tie nothing.
+`generalise` to be replaced by a general word: the one that tells most of the same entity and stays
+under `generalise`, where the corpus has one. A term is marked wherever it occurs, with the entity
+or without it. A pair must occur together in `support` distinct texts; with 1, a sole document
+ties all its rare words to its entities.
 
-Term counts cover the whole corpus. A bit set of fixed size (2**20 bits) of the terms near
-entities spares most words the way to the exact count; once it is full it merely spares none.
+Counts cover the whole corpus. The ratio reaches `generalise` only if the term's documents are at most
+n_ct * (n / n_c) ** (1 - generalise); terms of which the documents with entities hold more already are
+left out before the rest of the corpus is counted. A bit set of fixed size of the terms that are left
+spares other words the way to that count; once it is full it merely spares none.
 
 Edge cases: a null text is empty; rows with null or repeated ids each get their row; an empty table
 gives an empty result.
@@ -19,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spans import Kind, all_spans, counted, joined, replaced, spans_of
+from ._spans import Kind, all_spans, bracketed, counted, joined, let, replaced, spans_of
 from ._spark import text_of, written
 
 #: The base patterns.
@@ -29,8 +33,9 @@ OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9]|)"
 IP_HOLDS = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}+"
-BITS_LONGS = 1 << 14
+TERM = r"\p{L}++"
+#: Longs in a bit set.
+BITS_LONGS = 1 << 16
 
 
 def _digits(v: Column) -> Column:
@@ -58,58 +63,75 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"])))
 
 
-def _windows(text: Column, reach: int) -> Column:
-    """Spans of the terms within `reach` code points of each base span, whole words only: array<struct<entity, start, end, value>>."""
-    spans = F.col("spans")
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, lower-cased."""
+    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), F.lower))
 
-    def near(s: Column) -> Column:
-        left_at = F.greatest(s["start"] - reach, F.lit(0))
-        left = F.substring(text, left_at + 1, s["start"] - left_at)
-        cut = F.when(left_at > 0, F.regexp_replace(left, r"^\S*+", "")).otherwise(left)
-        right = F.substring(text, s["end"] + 1, F.lit(reach))
-        ended = F.when(F.length(right) == reach, F.regexp_replace(right, r"\S++$", "")).otherwise(right)
-        entity = _entity(s)
 
-        def moved(window: Column, by: Column) -> Column:
-            return F.transform(spans_of(window, TERM), lambda t: F.struct(entity.alias("entity"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("term")))
+class Bits:
+    """A bit set of fixed size of the hashes of a column's values, as a scalar."""
 
-        return F.concat(moved(cut, s["start"] - F.length(cut)), moved(ended, s["end"]))
+    def __init__(self, rows: DataFrame, column: str):
+        h = F.xxhash64(column)
+        filled = rows.select(self._slot(h).alias("at"), h.alias("h")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+        dense = rows.sparkSession.range(BITS_LONGS).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+        self.bits = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits")).scalar()
 
-    found = F.flatten(F.transform(spans, near))
-    return F.filter(found, lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    @staticmethod
+    def _slot(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITS_LONGS - 1)).cast("int")
 
+    def has(self, column: str) -> Column:
+        h = F.xxhash64(column)
+        return F.getbit(F.get(self.bits, self._slot(h)), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 48, remove: float = 0.9, generalise: float = 0.7, support: int = 2) -> DataFrame:
-    """A row for each document: key, spans array<struct<start, kind, end>> of base spans and disclosing terms (kind: place in NAMES)."""
-    held = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    base = held.select("*", all_spans(F.col("text"), KINDS).alias("spans"))
-    near = F.when(F.size("spans") > 0, _windows(F.col("text"), reach))
-    base = written(base.select(F.monotonically_increasing_id().alias("row"), "key", F.xxhash64("text").alias("digest"), "spans", near.alias("near")))
 
-    pairs = base.where(F.size("near") > 0).select("row", "digest", F.explode("near").alias("n")).select("row", "digest", "n.*")
-    of_entity = base.where(F.size("spans") > 0).select("row", F.explode("spans").alias("s")).select("row", _entity(F.col("s")).alias("entity"))
-    n_c = of_entity.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    once = pairs.groupBy("entity", "term", "row").agg(F.first("digest").alias("digest"))
-    n_ct = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct"), F.countDistinct("digest").alias("texts"))
-    n_ct = written(n_ct.where(F.col("texts") >= support).select("entity", "term", "n_ct"))
+def disclosing(held: DataFrame, base: DataFrame, remove: float, generalise: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(term, ratio, word) of the terms to be marked, word being null where a term is to be removed or no general word is known; (blob, term) of texts that hold candidates."""
+    texts = written(base.where(F.size("entities") > 0).groupBy("blob").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("copies")))
+    of_entity = texts.select("terms", "copies", F.explode("entities").alias("entity"))
+    n_c = written(of_entity.groupBy("entity").agg(F.sum("copies").alias("n_c"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("entity", "n_c"))
+    met = of_entity.join(n_c.select("entity"), "entity", "left_semi").select("entity", "copies", F.explode("terms").alias("term"))
+    n_ct = met.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support).select("entity", "term", "n_ct")
+    n_e = texts.select("copies", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("copies").alias("n_e"))
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
+    most = F.col("n_ct") * F.pow(F.col("n") / F.col("n_c"), F.lit(1 - generalise)) * (1 + 1e-9)
+    cand = n_ct.join(n_c, "entity").join(n_e, "term").withColumn("n", n).where((F.col("n") > F.col("n_c")) & (F.col("n_e") <= most)).drop("n_e")
+    cand = written(cand)
 
-    slot, bit = (lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(BITS_LONGS - 1)).cast("int")), (lambda h: h.bitwiseAND(F.lit(63)).cast("int"))
-    terms = n_ct.select(F.xxhash64("term").alias("h"))
-    filled = terms.groupBy(slot(F.col("h")).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    dense = docs.sparkSession.range(BITS_LONGS).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
-    bits = dense.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits")).scalar()
-    words = held.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).withColumn("h", F.xxhash64("term"))
-    likely = words.where(F.getbit(F.get(bits, slot(F.col("h"))), bit(F.col("h"))) == 1)
-    n_t = likely.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-
-    tied = n_ct.join(n_t, "term").join(n_c, "entity").withColumn("n", n)
+    likely = Bits(cand.select("term").distinct(), "term")
+    holding = written(held.select("blob", F.explode(_terms(F.col("text"))).alias("term")).where(likely.has("term")))
+    n_t = holding.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     ratio = F.log(F.col("n") * F.col("n_ct") / (F.col("n_c") * F.col("n_t"))) / F.log(F.col("n") / F.col("n_c"))
-    tied = tied.where(F.col("n") > F.col("n_c")).withColumn("ratio", ratio).where(F.col("ratio") >= generalise)
-    told = pairs.join(tied, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("ratio").alias("ratio"))
-    told = told.groupBy("row").agg(F.collect_list(F.struct("start", F.when(F.col("ratio") >= remove, len(BASE)).otherwise(len(BASE) + 1).alias("kind"), "end")).alias("terms"))
-    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return base.join(told, "row", "left").select("key", plain.alias("base"), F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start:int,kind:int,end:int>>"))).alias("spans"))
+    scored = written(cand.join(n_t, "term").select("entity", "term", "n_t", ratio.alias("ratio")))
+    word = scored.where(F.col("ratio") < generalise).groupBy("entity").agg(F.max_by("term", F.struct("ratio", "n_t", "term")).alias("word"))
+    tied = scored.where(F.col("ratio") >= generalise).join(word, "entity", "left")
+    tied = tied.groupBy("term").agg(F.max(F.struct("ratio", "word")).alias("x"))
+    return written(tied.select("term", "x.ratio", F.when(F.col("x.ratio") < remove, F.col("x.word")).alias("word"))), holding
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float = 0.9, generalise: float = 0.7, support: int = 2) -> DataFrame:
+    """A row for each document: key, base and spans array<struct<start, kind, end, word>>, the latter with disclosing terms (kind: place in NAMES; word: the general word, or null)."""
+    held = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    base = held.select("key", "blob", "text", all_spans(F.col("text"), KINDS).alias("spans"))
+    plain = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("string").alias("word")))
+    entities = F.array_distinct(F.transform("spans", _entity))
+    base = written(base.select("key", "blob", plain.alias("base"), entities.alias("entities"), F.when(F.size("spans") > 0, _terms(F.col("text"))).alias("terms")))
+    tied, holding = disclosing(held, base, remove, generalise, support)
+
+    told = holding.join(tied, "term").groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("term", F.struct("ratio", "word")))).alias("told"))
+    told = written(told)
+    some = Bits(told, "blob")
+    texts = held.where(some.has("blob")).select("blob", "text").join(told, "blob")
+    places = F.filter(spans_of(F.col("text"), TERM), lambda t: F.map_contains_key("told", F.lower(t["value"])))
+
+    def mark(t: Column) -> Column:
+        return let(F.element_at("told", F.lower(t["value"])), lambda x: F.struct(t["start"].alias("start"), F.when(x["ratio"] >= remove, len(BASE)).otherwise(len(BASE) + 1).alias("kind"), t["end"].alias("end"), x["word"].alias("word")))
+
+    marks = texts.select("blob", F.transform(places, mark).alias("marks")).groupBy("blob").agg(F.first("marks").alias("marks"))
+    apart = F.filter("marks", lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    return base.join(marks, "blob", "left").select("key", "base", F.concat("base", F.coalesce(apart, F.array().cast("array<struct<start:int,kind:int,end:int,word:string>>"))).alias("spans"))
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -122,5 +144,6 @@ def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def sanitise(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets."""
-    return replaced(text, spans, NAMES)
+    """The text with each span replaced by its general word, or else by its kind in brackets."""
+    label = bracketed(NAMES)
+    return replaced(text, spans, lambda s: F.coalesce(s["word"], label(s)))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spans import Kind, all_spans, counted, joined, replaced
+from ._spans import Kind, all_spans, bracketed, counted, joined, replaced
 from ._spark import text_of, written
 
 #: The rules of version 1.
@@ -68,7 +68,7 @@ def redact(docs: DataFrame, ledger: DataFrame, text: str = "text", size: str | N
     """docs with each secret replaced by its kind in brackets; `size` names a column that counts code points."""
     hits = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans"))
     held = docs.withColumn("_at", address(text)).join(hits, F.col("_at") == F.col("_digest"), "left")
-    clean = F.when(F.col("_spans").isNotNull(), replaced(F.col(f"`{text}`"), F.col("_spans"), NAMES)).otherwise(F.col(f"`{text}`"))
+    clean = F.when(F.col("_spans").isNotNull(), replaced(F.col(f"`{text}`"), F.col("_spans"), bracketed(NAMES))).otherwise(F.col(f"`{text}`"))
     held = held.withColumn("_clean", clean)  # a name of its own: inside a lambda, a new column of the same select would hide an old one
     columns = {text: F.col("_clean")} | ({size: F.when(F.col("_spans").isNotNull(), F.length("_clean").cast("long")).otherwise(F.col(f"`{size}`"))} if size else {})
     return held.select(*[columns.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

@@ -278,6 +278,11 @@ def components(links: DataFrame) -> DataFrame:
             return label.withColumnRenamed("u", "node").withColumnRenamed("l", "root")
 
 
+def _chunks(lists: DataFrame) -> DataFrame:
+    """A row for each chunk of the lists."""
+    return lists.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+
+
 class Join:
     """The state of one join: the open lists, the sets of their classes, what was compared and what links."""
 
@@ -326,7 +331,7 @@ class Join:
         if open_.isEmpty():
             self.entries = self.entries.limit(0)
             return False
-        leads = open_.select("list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), *[F.col(f"one.{c}").alias(f"x_{c}") for c in ("cls", "root", "n", "i")])
+        leads = _chunks(open_).select("list", "chunk", *[F.col(f"one.{c}").alias(f"x_{c}") for c in ("cls", "root", "n", "i")])
         met = leads.join(told, ["list", "chunk"])
         good = (F.col("x_root") != F.col("root")) & _placed(F.col("x_n"), F.col("x_i"), F.col("n"), F.col("i"), self.num, self.den)
         pairs = written(self.untried(met.where(good).select(F.col("x_cls").alias("a"), F.col("cls").alias("b"))))
@@ -335,7 +340,7 @@ class Join:
         good = self.link(done)
         anchors = good.select(F.col("b").alias("cls"), F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("differ"), F.col("a").alias("anchor"), F.col("n_a").alias("n"), "common").alias("x"))
         self.anchors = anchors if self.anchors is None else self.anchors.unionByName(anchors)
-        self.entries = written(told.drop("root").join(open_.select("list"), "list", "left_semi"))
+        self.entries = written(told.drop("root").join(_chunks(open_), ["list", "chunk"], "left_semi"))
         if good.isEmpty():
             return False
         self.answer = components(self.links)
@@ -361,8 +366,8 @@ class Join:
         """All pairs that the rounds left open; with `every`, all pairs."""
         told = self.told()
         if not every:
-            open_ = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-            told = told.join(open_.select("list"), "list", "left_semi")
+            open_ = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks")).where("low != high")
+            told = told.join(_chunks(open_), ["list", "chunk"], "left_semi")
         pairs = written(self.untried(self.blocks(written(told), every)))
         if pairs.isEmpty():
             return

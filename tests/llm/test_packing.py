@@ -28,6 +28,11 @@ def test_ids_are_those_of_the_library(spark, sf):
         assert _tokens.ids(_tokens.default_path(), text).tolist() == reference_ids(text)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "7" * 1_000_000, "x" * 1_000_000, "é" * 500_000, "!" * 1_000_000, "\n" * 1_000_000])
+def test_long_runs_are_encoded(text):
+    assert _tokens.ids(_tokens.default_path(), text).tolist() == reference_ids(text)
+
+
 def test_every_id_has_one_place(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     docs = docs.unionByName(spark.createDataFrame([(10_000 + i // 2, t) for i, t in enumerate(TEXTS)] + [(None, "x")], docs.schema))

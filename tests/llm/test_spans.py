@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import re
+import time
+from collections import Counter, defaultdict
 
 import pytest
 
-from helixmill.llm import pii_disclosure, secret_ledger
+from pyspark.sql import functions as F
+
+from helixmill.llm import _spans, pii_disclosure, secret_ledger
 
 KEY = "x9" * 9
 TEXTS = [
@@ -123,3 +129,66 @@ def test_terms_that_occur_only_with_an_entity_are_removed(spark):
     texts = {r.doc_id: r for r in docs.join(found, docs.doc_id == found.key).select("doc_id", pii_disclosure.sanitise(docs.text, found.spans).alias("text"), "spans").collect()}
     assert texts[0].text == "note 0 about walker [REMOVED] mail [EMAIL] common words here"
     assert texts[11].text == rows[4][1]
+
+
+def ratios(rows, support):
+    """Of each term and entity: the ratio, from counts of whole documents."""
+    words = [set(re.findall(r"[a-z]+", re.sub(PERSONAL[0][1], " ", t))) for _, t in rows]
+    mails = [{m.group().lower() for m in PERSONAL[0][1].finditer(t)} for _, t in rows]
+    n_c, n_t = Counter(e for m in mails for e in m), Counter(w for x in words for w in x)
+    both, texts = Counter(), defaultdict(set)
+    for (_, t), w, m in zip(rows, words, mails, strict=True):
+        for e in m:
+            for x in w:
+                both[e, x] += 1
+                texts[e, x].add(t)
+    n = len(rows)
+    return {k: math.log(n * c / (n_c[k[0]] * n_t[k[1]])) / math.log(n / n_c[k[0]]) for k, c in both.items() if len(texts[k]) >= support}
+
+
+@pytest.mark.parametrize("support", [1, 2])
+def test_marks_against_plain_counts(spark, support):
+    rng = random.Random(support)
+    words = [f"{a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    rows = []
+    for i in range(60):
+        mail = rng.choice(["", "", "Ann.x@one.org", "bob@two.net", "bob@two.net and c@d.example"])
+        near = {"": [], "A": ["xilo", "yavo"]}.get(mail[:1], ["quib"])
+        rows.append((i, " ".join([*rng.choices(words, k=6), mail, *rng.choices(words, k=30), *rng.sample(near, min(len(near), rng.randrange(3)))])))
+    rows += [(100, rows[5][1]), (101, "xilo stands far from any address"), (102, "")]
+    best = {}
+    for (_, x), r in ratios(rows, support).items():
+        best[x] = max(best.get(x, 0), r)
+    got = pii_disclosure.find(spark.createDataFrame(rows, "doc_id long, text string"), support=support).collect()
+    text, kinds = dict(rows), Counter()
+    for r in got:
+        base = [(s.start, s.end) for s in r.base]
+        want = {(m.start(), 4 if best[m.group()] >= 0.9 else 5, m.end()) for m in re.finditer("[a-z]+", text[r.key]) if best.get(m.group(), 0) >= 0.7 and not any(m.start() < e and s < m.end() for s, e in base)}
+        assert {(s.start, s.kind, s.end) for s in r.spans[len(base) :]} == want
+        kinds.update(k for _, k, _ in want)
+        assert all(best[s.word] < 1 for s in r.spans if s.word)
+    assert kinds[4] and (kinds[5] or support == 2)
+
+
+@pytest.mark.parametrize("text", ["token=abcdefgh1 " * 20_000, "12 " * 100_000, "w" * 1_000_000, " " * 1_000_000 + "x", "a@b.c " * 30_000])
+def test_long_texts_take_seconds(spark, text):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    _, ledger, _ = secret_ledger.scan(docs)
+    hidden = secret_ledger.redact(docs, ledger).first().text
+    assert hidden == re.sub(r"token=abcdefgh1", "[ASSIGN]", text)
+    assert pii_disclosure.digest(pii_disclosure.find(docs)).first().n_email == text.count("@")
+    assert time.time() - start < 40
+
+
+def test_replaced_leaves_overlaps_out(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 7, 50):
+        text = "".join(rng.choice("abc é😀") for _ in range(200))
+        spans = [(a, min(200, a + rng.randrange(1, 9))) for a in (rng.randrange(195) for _ in range(n))]
+        want, at = "", 0
+        for a, b in sorted(spans):
+            if a >= at:
+                want, at = want + text[at:a] + "#", b
+        df = spark.createDataFrame([(text, spans)], "text string, spans array<struct<start:int,end:int>>")
+        assert df.select(_spans.replaced(F.col("text"), F.col("spans"), lambda s: F.lit("#"))).first()[0] == want + text[at:]
