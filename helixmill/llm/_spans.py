@@ -50,9 +50,9 @@ def scanned(items: Column, zero: Column, out: str, step) -> Column:
     return let(items, walk)
 
 
-def spans_of(text: Column, pattern: str) -> Column:
+def spans_of(text: Column, pattern: str | Column) -> Column:
     """All matches, leftmost and non-overlapping, as array<struct<start, end, value>>."""
-    p = F.lit(pattern)
+    p = pattern if isinstance(pattern, Column) else F.lit(pattern)
     found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
     sized = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.struct(F.length(g).alias("gap"), F.length(v).alias("size"), v.alias("value")))
 

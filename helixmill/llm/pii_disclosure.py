@@ -123,13 +123,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", remove: float
     told = holding.join(tied, "term").groupBy("blob").agg(F.map_from_entries(F.collect_set(F.struct("term", F.struct("ratio", "word")))).alias("told"))
     told = written(told)
     some = Bits(told, "blob")
-    texts = held.where(some.has("blob")).select("blob", "text").join(told, "blob")
-    places = F.filter(spans_of(F.col("text"), TERM), lambda t: F.map_contains_key("told", F.lower(t["value"])))
+    texts = held.where(some.has("blob")).groupBy("blob").agg(F.first("text").alias("text")).join(told, "blob")
+    words = F.filter(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0))), lambda w: F.map_contains_key("told", F.lower(w)))
+    texts = texts.select("blob", "text", "told", F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})")).alias("pattern"))
 
     def mark(t: Column) -> Column:
         return let(F.element_at("told", F.lower(t["value"])), lambda x: F.struct(t["start"].alias("start"), F.when(x["ratio"] >= remove, len(BASE)).otherwise(len(BASE) + 1).alias("kind"), t["end"].alias("end"), x["word"].alias("word")))
 
-    marks = texts.select("blob", F.transform(places, mark).alias("marks")).groupBy("blob").agg(F.first("marks").alias("marks"))
+    marks = written(texts.select("blob", F.transform(spans_of(F.col("text"), F.col("pattern")), mark).alias("marks")))
     apart = F.filter("marks", lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
     return base.join(marks, "blob", "left").select("key", "base", F.concat("base", F.coalesce(apart, F.array().cast("array<struct<start:int,kind:int,end:int,word:string>>"))).alias("spans"))
 
