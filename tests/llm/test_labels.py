@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -33,12 +34,34 @@ def test_words_in_pieces(monkeypatch):
     assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
 
 
-def test_counts_are_of_documents_with_a_word(spark):
-    rows = [(0, "the cat the hat"), (1, "the moron"), (0, ""), (1, "the moron moron")]
-    c = toxicity_kn.count(spark.createDataFrame(rows, "toxic int, text string"), groups=2)
-    assert [int(c.k[-1][k].sum()) for k in (0, 1)] == [3, 4]
-    bins, _ = toxicity_kn.tokens(*_bytes.buffer(pa.array(["moron"])))
-    assert c.k[-1][:, bins[-1][0]].tolist() == [0, 2]
+KN = [(0, "the cat the hat and the catalogue"), (1, "you moronic the cat"), (0, ""), (1, "the moron moron and you"), (0, "the cat the hat"), (0, "and you wonderful wonderfully catalogues")]
+
+
+def plain_ratio(rows, word):
+    """The log ratio of a word by the formulas, from sets of (word before, word)."""
+    pairs = [{p for t, x in rows if t == c for w in [x.split()] for p in zip(["", *w], w)} for c in (0, 1)]
+    pairs.append(pairs[0] | pairs[1])
+    cuts, ratio = [0, 4, 6, 8, 99], 0.0
+    for low, high in zip(cuts, cuts[1:]):
+        n = [sum(w[:high] == word[:high] for _, w in p) for p in pairs]
+        of = [sum(w[:low] == word[:low] for _, w in p) for p in pairs]
+        m = [len({w[:high] for _, w in p if w[:low] == word[:low]}) for p in pairs]
+        shared = (n[2] + 0.5) / (of[2] + (m[2] + 1) / 2)
+        step = [(max(n[c] - 0.75, 0) + (0.75 * m[c] + 1) * shared) / (of[c] + 1) for c in (0, 1)]
+        ratio += math.log(step[1] / step[0])
+    return ratio
+
+
+def test_ratios_by_the_formulas(spark):
+    c, pairs = toxicity_kn.count(spark.createDataFrame(KN, "toxic int, text string").repartition(3))
+    seen = sorted({w for _, x in KN for w in x.split()} | {"unknown", "morons", "wonders"})
+    levels, v, first = toxicity_kn.words(*_bytes.buffer(pa.array([" ".join(seen)])))
+    assert toxicity_kn.ratios(c, levels) == pytest.approx([plain_ratio(KN, w) for w in seen])
+    for own, (toxic, text) in enumerate(KN):  # a text's own counts taken out
+        levels, v, first = toxicity_kn.words(*_bytes.buffer(pa.array([text])))
+        rest = KN[:own] + KN[own + 1 :]
+        got = toxicity_kn.ratios(c, levels, (toxic, toxicity_kn._lost(pairs, toxic, v, levels[-1])))
+        assert got == pytest.approx([plain_ratio(rest, w) for w in text.split()])
 
 
 def test_toxicity_on_held_out_rows(spark):
