@@ -5,8 +5,9 @@ digests go to one cell in each of three subtables of a sketch: a count, the XOR
 the XOR of their checks. The sketch of a text is its fingerprint. Two versions' sketches subtract
 cell by cell, what they share cancels, and peeling recovers the digests that differ: a cell with
 a single digest names it, and taking it out of its other cells bares more. Each peeling step is an
-aggregation, and all steps of an attempt run on one partitioning. What fails to peel is tried
-again with sketches four times as large and other cells, until nothing fails.
+aggregation, and all steps of an attempt run on one partitioning. The first attempt peels the
+difference of the fingerprints themselves. What fails to peel is tried again with sketches four times
+as large and other cells, until nothing fails.
 
 Likeness is the share of common digests among all digests of the two texts, from the recovered
 difference and the two set sizes. Equal texts have equal fingerprints.
@@ -30,6 +31,8 @@ from ._spark import text_of, written
 PARAGRAPH = r"(?:[^\n.!?]*+[.!?]++[ ]?+|[^\n.!?]++){1,3}"
 #: Cells in each of the three subtables of a fingerprint, growth on failure, and peeling steps to an attempt.
 CELLS, GROWTH, STEPS = 8, 4, 12
+#: Cells to a partition, and the most ranges of the id.
+PART_CELLS, RANGES = 500_000, 1 << 13
 CHECK = 0x5EED
 
 
@@ -72,11 +75,17 @@ def _peel(sketch: DataFrame, by: list[str], subtable: int, cells: int, seed: int
     return _summed(sketch.select(*by, F.explode(F.when(alone, gone).otherwise(kept)).alias("c")).select(*by, "c.*"), by)
 
 
+def _parts(rows: DataFrame, cells: int) -> int:
+    """Partitions for sketches of the rows: each of some hundred thousand cells at most, where the default number gives more."""
+    default = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(default, -(-rows.count() * 3 * cells // PART_CELLS))
+
+
 def difference(pairs: DataFrame, cells: int, seed: int, steps: int = STEPS) -> DataFrame:
     """One attempt on (id, pair, one, other): id, pair, differ, failed. A pair without a row does not differ."""
     by = ["id", "pair"]
     signed = F.concat(F.transform("one", lambda k: F.struct(k.alias("key"), F.lit(1).alias("n"))), F.transform("other", lambda k: F.struct(k.alias("key"), F.lit(-1).alias("n"))))
-    elements = pairs.repartition("id").select(*by, F.explode(signed).alias("x")).select(*by, "x.*")
+    elements = pairs.repartition(_parts(pairs, cells), "id").select(*by, F.explode(signed).alias("x")).select(*by, "x.*")
     sketch = _cells(elements, by, cells, seed)
     for step in range(steps):
         sketch = _peel(sketch, by, step % 3, cells, seed)
@@ -87,29 +96,17 @@ def difference(pairs: DataFrame, cells: int, seed: int, steps: int = STEPS) -> D
 def differences(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
     """Sizes of the differences of all pairs: id, pair, differ. `pairs` reads a written table.
 
-    The first attempt's sketches hold what the two set sizes allow to differ, so that most pairs
-    take one attempt; failures are tried again, larger.
+    The first attempt peels the difference of the two fingerprints; what fails is tried again, larger.
     """
-    need = F.size("one") + F.size("other")
-    most = pairs.agg(F.max(need)).first()[0]
-    done, low = [], -1
-    while most is not None and low < most:
-        room = 2 * cells  # of 3 * cells cells
-        part, size, seed = pairs.where((need > low) & (need <= room)), cells, 0
-        while True:
-            tried = written(difference(part, size, seed))
-            done.append(tried.where(~F.col("failed")).select("id", "pair", "differ"))
-            failed = tried.where("failed").select("id", "pair")
-            if failed.isEmpty():
-                break
-            part, size, seed = written(part.join(failed, ["id", "pair"], "left_semi")), size * GROWTH, seed + 1
-        low, cells = room, cells * GROWTH
-    if not done:
-        return pairs.select("id", "pair", F.lit(0).cast("long").alias("differ")).limit(0)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    done, part, size, seed = None, pairs, cells, 0
+    while True:
+        tried = written(difference(part, size, seed))
+        peeled = tried.where(~F.col("failed")).select("id", "pair", "differ")
+        done = peeled if done is None else done.unionByName(peeled)
+        failed = tried.where("failed").select("id", "pair")
+        if failed.isEmpty():
+            return done
+        part, size, seed = written(part.join(failed, ["id", "pair"], "left_semi")), size * GROWTH, seed + 1
 
 
 def likeness(n: Column, differ: Column) -> Column:
@@ -119,7 +116,7 @@ def likeness(n: Column, differ: Column) -> Column:
 
 def fingerprints(texts: DataFrame, cells: int = CELLS) -> DataFrame:
     """Fingerprints of (id, side, digests): id, side, fingerprint: set size, and count, key and check of each cell that is not empty."""
-    elements = texts.repartition("id").select("id", "side", F.explode("digests").alias("key"), F.lit(1).alias("n"))
+    elements = texts.repartition(_parts(texts, cells), "id").select("id", "side", F.explode("digests").alias("key"), F.lit(1).alias("n"))
     hexed = F.concat_ws(".", F.hex("cell"), F.hex("n"), F.hex("key"), F.hex(F.col("check").bitwiseAND(F.lit(0xFFFFFFFF))))
     cells_of = _cells(elements, ["id", "side"], cells, 0).groupBy("id", "side").agg(F.array_sort(F.collect_list(F.struct("cell", hexed.alias("hexed")))).alias("cells"), F.sum("n").alias("n"))
     return cells_of.select("id", "side", F.concat_ws(";", F.hex((F.col("n") / 3).cast("long")), F.concat_ws(",", F.transform("cells", lambda c: c["hexed"]))).alias("fingerprint"))
@@ -131,7 +128,7 @@ def in_id_order(docs: DataFrame, key: str, text: str, per_range: int = 2048) ->
     held = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     bounds: list[int] = []
     if sizes.most is not None:
-        ranges = max(1, min(1 << 16, sizes.n // per_range))
+        ranges = max(1, min(RANGES, sizes.n // per_range))
         shares = [i / ranges for i in range(1, ranges)]
         found = docs.agg(F.percentile_approx(key, shares, 10_000).alias("b")).first().b if shares else []
         bounds = sorted({*found, sizes.most})
