@@ -136,7 +136,7 @@ def best_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tie_break(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.resolve(_best(spark, sf)).select(*PAIR)
+    return pairing.choose(_hits(spark, sf)).select(*PAIR)
 
 
 @query
@@ -166,7 +166,7 @@ def _starts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def coverage_rle(spark: SparkSession, sf: str) -> DataFrame:
-    return pairing.coverage(pairing.starts_of(pairing.resolve(_best(spark, sf))))
+    return pairing.coverage(pairing.starts_of(pairing.choose(_hits(spark, sf))))
 
 
 @query
@@ -177,7 +177,7 @@ def coverage_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _placed(spark: SparkSession, sf: str) -> DataFrame:
-    return variants.mates(pairing.resolve(_best(spark, sf)), mapping.orient(fx.paired_reads(spark, sf)))
+    return variants.mates(pairing.choose(_hits(spark, sf)), mapping.orient(fx.paired_reads(spark, sf)))
 
 
 def _snv(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ def indel_calls(spark: SparkSession, sf: str) -> DataFrame:
     gap = F.concat(F.substring("bases", F.col("first"), F.lit(59)), F.substring("bases", F.col("first") + 59 + size, F.lit(61)))
     gapped = at.select("pair_id", gap.alias("seq1"), "seq2")
     hits = mapping.map_reads(gapped, g)
-    placed = variants.mates(pairing.resolve(pairing.best_pairs(pairing.pair_candidates(hits))), mapping.orient(gapped))
+    placed = variants.mates(pairing.choose(hits), mapping.orient(gapped))
     return variants.aggregate(variants.call_variants(placed, g))
 
 

@@ -14,7 +14,7 @@ PAIRS = "pair_id long, seq1 string, seq2 string"
 def call_pairs(pairs: DataFrame, genome: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(variant calls, starts of placed reads) of one batch of pairs."""
     hits = mapping.map_reads(pairs, genome)
-    chosen = pairing.resolve(pairing.best_pairs(pairing.pair_candidates(hits)))
+    chosen = pairing.choose(hits)
     return variants.call_variants(variants.mates(chosen, mapping.orient(pairs)), genome), pairing.starts_of(chosen)
 
 
