@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -69,7 +70,10 @@ def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
             kind_of, full = batch.column(0).type, []
             for r in range(batch.num_rows):
                 owners.append(batch.column(0)[r].as_py())
-                rest = np.concatenate([rest, _tokens.ids(path, batch.column(1)[r].as_py()).astype("<u2"), np.array([END], "<u2")])
+                found = _tokens.ids(path, batch.column(1)[r].as_py())
+                if len(found) and found.max() >> 16:
+                    raise ValueError("the vocabulary has ids over 16 bits")
+                rest = np.concatenate([rest, found.astype("<u2"), np.array([END], "<u2")])
                 while len(rest) >= length:
                     full.append((length, owners, rest[:length].tobytes()))
                     rest = rest[length:]
@@ -101,13 +105,30 @@ def materialise(made: DataFrame, seed: int, records: int = RECORDS) -> DataFrame
     names = [*made.columns, "slot"]
     ddl = ", ".join(f"{n} {t}" for n, t in made.dtypes) + ", slot long"
 
+    at = made.columns.index("ids") if "ids" in made.columns else None
+
+    def coded(batch: pa.RecordBatch, code) -> list[pa.Array]:
+        columns = batch.columns
+        if at is not None:
+            columns[at] = pa.array([code(x) for x in columns[at].to_pylist()], pa.binary())
+        return columns
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds the slot; ids cross the cluster compressed."""
+        code = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             number = shared.value[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(permuted(number, total, seed))], names=names)
+            yield pa.RecordBatch.from_arrays([*coded(batch, code), pa.array(permuted(number, total, seed))], names=names)
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(coded(batch, code), names=names)
 
     shard = F.expr(f"slot div {records}")
     placed = made.mapInArrow(place, ddl).repartitionById(-(-total // records), shard.cast("int")).sortWithinPartitions("slot")
+    if at is not None:
+        placed = placed.mapInArrow(expand, ddl)
     return placed.select("*", shard.alias("shard"), (F.col("slot") % records).cast("int").alias("record"))
 
 
