@@ -115,7 +115,7 @@ def materialise(made: DataFrame, seed: int, records: int = RECORDS) -> DataFrame
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the slot; ids cross the cluster compressed."""
-        code = zstandard.ZstdCompressor(level=3).compress
+        code = zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             number = shared.value[batch.column(0).to_numpy()] + batch.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([*coded(batch, code), pa.array(permuted(number, total, seed))], names=names)
