@@ -203,17 +203,30 @@ def _sketched(x: Column, y: Column, n: Column, m: Column, num: int, den: int) ->
     return differ * (den + num) <= (n + m) * (den - num)
 
 
+class Seen:
+    """A bit set of classes, broadcast: SEEN_RATE bits for each, 2**SEEN_MOST at most. It lets some others pass."""
+
+    def __init__(self, wanted: DataFrame):
+        log_bits = min(SEEN_MOST, max(16, (SEEN_RATE * wanted.count()).bit_length()))
+        self.mask = (1 << log_bits) - 1
+        at = F.col("cls").bitwiseAND(F.lit(self.mask))
+        words = wanted.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+        bits = np.zeros((1 << log_bits) // 64, np.int64)
+        for i, word in words.toLocalIterator():  # at most 2**SEEN_MOST / 64 rows
+            bits[i] = word
+        self.bits = wanted.sparkSession.sparkContext.broadcast(bits)
+
+    def __getstate__(self):
+        return {"mask": self.mask, "bits": self.bits}
+
+    def has(self, cls):
+        """Of a number, or of an array of them."""
+        return self.bits.value[(cls & self.mask) >> 6] >> (cls & 63) & 1 == 1
+
+
 def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """cls, n, items (the set as sorted unsigned 64-bit bytes) and parity of the wanted classes, one row for each."""
-    spark = docs.sparkSession
-    log_bits = min(SEEN_MOST, max(16, (SEEN_RATE * wanted.count()).bit_length()))
-    mask = (1 << log_bits) - 1
-    at = F.col("cls").bitwiseAND(F.lit(mask))
-    words = wanted.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    bits = np.zeros((1 << log_bits) // 64, np.int64)
-    for i, word in words.toLocalIterator():  # at most 2**SEEN_MOST / 64 rows
-        bits[i] = word
-    shared = spark.sparkContext.broadcast(bits)
+    """cls, n, items (the set as sorted unsigned 64-bit bytes) and parity of the wanted classes, and of few others, one row for each."""
+    kept = Seen(wanted)
 
     def made(cls: list, n: list, items: list, parity: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(items, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["cls", "n", "items", "parity"])
@@ -224,7 +237,7 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> D
             cls, n, items, parity, held = [], [], [], [], 0
             for s in _sets(batch, 0, width):
                 c = class_of(s)
-                if len(s) and c not in seen and shared.value[(c & mask) >> 6] >> (c & 63) & 1:
+                if len(s) and c not in seen and kept.has(c):
                     seen.add(c)
                     cls.append(c)
                     n.append(len(s))
@@ -237,7 +250,18 @@ def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> D
             yield made(cls, n, items, parity)
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(read, "cls long, n int, items binary, parity array<long>")
-    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "items", "parity")])
+    return found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "items", "parity")])
+
+
+def some_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and items of the wanted classes, and of few others, picked where the sets are stored, so that only these cross the cluster."""
+    kept = Seen(wanted)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(kept.has(batch.column(0).to_numpy())))
+
+    return sets.select("cls", "items").mapInArrow(pick, "cls long, items binary")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -251,6 +275,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common[r] = np.count_nonzero(both[1:] == both[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], ["a", "b", "common"])
 
+    sets = written(some_of(sets, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
     copies = sets.join(fans, sets["cls"] == fans["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("copy"), F.col("items").alias("x"))
     dealt = pairs.join(fans, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
