@@ -224,48 +224,35 @@ class Seen:
         return self.bits.value[(cls & self.mask) >> 6] >> (cls & 63) & 1 == 1
 
 
-def _stored_sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """cls, n, items (the set as sorted unsigned 64-bit bytes) and parity of the wanted classes, and of few others, one row for each."""
+def _fetched(docs: DataFrame, wanted: DataFrame, text: str, width: int, whole: bool) -> DataFrame:
+    """Of the wanted classes, and of few others, a row each: cls, n and their items (as sorted unsigned 64-bit bytes) if `whole`, or else their parity sketches."""
     kept = Seen(wanted)
-
-    def made(cls: list, n: list, items: list, parity: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(items, pa.binary()), pa.array(parity, pa.list_(pa.int64()))], ["cls", "n", "items", "parity"])
+    of, kind, name = (lambda s: s.astype("<u8").tobytes(), pa.binary(), "items") if whole else (parities, pa.list_(pa.int64()), "parity")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()  # a class once from each task
+        seen, rows, held = set(), [], 0  # a class once from each task
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), kind))], ["cls", "n", name])
+
         for batch in batches:
-            cls, n, items, parity, held = [], [], [], [], 0
             for s in _sets(batch, 0, width):
                 c = class_of(s)
                 if len(s) and c not in seen and kept.has(c):
                     seen.add(c)
-                    cls.append(c)
-                    n.append(len(s))
-                    items.append(s.astype("<u8").tobytes())
-                    parity.append(parities(s))
+                    rows.append((c, len(s), of(s)))
                     held += 8 * len(s)
                     if held > 1 << 22:
-                        yield made(cls, n, items, parity)
-                        cls, n, items, parity, held = [], [], [], [], 0
-            yield made(cls, n, items, parity)
-
-    found = docs.select(F.col(text).alias("text")).mapInArrow(read, "cls long, n int, items binary, parity array<long>")
-    return found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "items", "parity")])
-
-
-def some_of(sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and items of the wanted classes, and of few others, picked where the sets are stored, so that only these cross the cluster."""
-    kept = Seen(wanted)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(kept.has(batch.column(0).to_numpy())))
+                        yield made()
+                        rows, held = [], 0
+        yield made()
 
-    return sets.select("cls", "items").mapInArrow(pick, "cls long, items binary")
+    found = docs.select(F.col(text).alias("text")).mapInArrow(read, f"cls long, n int, {name} " + ("binary" if whole else "array<long>"))
+    return found.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", name)])
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, common: of written pairs (a, b), the size of their intersection. The set of an `a` with many pairs is copied, and its pairs are dealt out to the copies."""
+def overlaps(pairs: DataFrame, fetch) -> DataFrame:
+    """a, b, common: of written pairs (a, b), the size of their intersection; fetch(classes) gives their sets. The set of an `a` with many pairs is copied, and its pairs are dealt out to the copies."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +262,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 common[r] = np.count_nonzero(both[1:] == both[:-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], ["a", "b", "common"])
 
-    sets = written(some_of(sets, pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
+    sets = written(fetch(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()))
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
     copies = sets.join(fans, sets["cls"] == fans["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("copy"), F.col("items").alias("x"))
     dealt = pairs.join(fans, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
@@ -309,15 +296,14 @@ def _chunks(lists: DataFrame) -> DataFrame:
 
 
 class Join:
-    """The state of one join: the open lists, the sets of their classes, what was compared and what links."""
+    """The state of one join: the open lists, the sketches of their classes, what was compared and what links."""
 
     def __init__(self, docs: DataFrame, text: str, width: int, num: int, den: int, found: DataFrame):
         self.num, self.den = num, den
         counts = docs.sparkSession.sparkContext.broadcast(counted(found))
         self.entries = written(shared_lists(listed(docs, text, width, num, den, counts), num, den))
-        self.sets = written(_stored_sets(docs, self.entries.select("cls").distinct(), text, width))
-        self.sizes = self.sets.select("cls", "n")
-        self.sketches = self.sets.select("cls", "n", "parity")
+        self.sketches = written(_fetched(docs, self.entries.select("cls").distinct(), text, width, False))
+        self.fetch = lambda wanted: _fetched(docs, wanted, text, width, True)
         self.tried = self.links = self.anchors = self.answer = None
 
     def told(self) -> DataFrame:
@@ -339,7 +325,7 @@ class Join:
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Written pairs (a, b, n_a, n_b) with the size of their intersection."""
-        return overlaps(pairs.select("a", "b"), self.sets).join(pairs, ["a", "b"])
+        return overlaps(pairs.select("a", "b"), self.fetch).join(pairs, ["a", "b"])
 
     def link(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs with `common` that link; they are added to the links."""
@@ -411,7 +397,7 @@ class Join:
         sides = sides.select("*", *key)
         same = F.col("p") == F.col("q")
         bases = written(sides.where(~same).groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
-        known = overlaps(bases, self.sets).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("base"))
+        known = overlaps(bases, self.fetch).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("base"))
         held = sides.join(known, ["p", "q"], "left").withColumn("base", F.when(same, F.col("x_a.n")).otherwise(F.col("base")))
         more = (F.col("n_a") - F.col("x_a.common")) + (F.col("n_b") - F.col("x_b.common"))
         less = (F.col("x_a.n") - F.col("x_a.common")) + (F.col("x_b.n") - F.col("x_b.common"))
