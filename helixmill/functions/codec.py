@@ -60,7 +60,8 @@ def mismatches(a: Column, b: Column, length: int = NEIGHBOUR) -> Column:
 
     @F.pandas_udf("int")
     def differ(x: pd.Series, y: pd.Series) -> pd.Series:
-        sides = [np.frombuffer("".join(v.str.ljust(length).str.slice(0, length)).encode("latin-1", "replace"), np.uint8).reshape(-1, length) for v in (x.fillna(""), y.fillna(""))]
+        whole = lambda v: v if v is not None and len(v) == length else (v or "")[:length].ljust(length)
+        sides = [np.frombuffer("".join(map(whole, v)).encode("latin-1", "replace"), np.uint8).reshape(-1, length) for v in (x, y)]
         sides = [np.where((v == ord("N")) | (v == ord(" ")), ord("A"), v) for v in sides]
         return pd.Series((sides[0] != sides[1]).sum(1).astype(np.int32))
 

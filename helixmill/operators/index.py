@@ -12,7 +12,7 @@ from ..functions.codec import CHUNK, NEIGHBOUR, SEED, seed_code
 
 VERSION = 1
 #: Positions that are cut from one piece of a sequence.
-BLOCK = 256
+BLOCK = 64
 
 
 def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
@@ -24,21 +24,41 @@ def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
     return sized.withColumn("_inside", inside).join(before, "_group").select("seq_nr", "seq_len", (F.col("_before") + F.col("_inside")).alias("pt_seq"))
 
 
+def _starts(sized: DataFrame, first: int, size: int, name: str) -> DataFrame:
+    """sized with a row for every `size` positions from `first` to `last`. The outer form keeps the test of `last` above the expansion: below it, `bases` would be computed once more for the test alone."""
+    steps = F.when(F.col("last") >= first, F.sequence(F.lit(first), F.greatest(F.col("last"), F.lit(first)), F.lit(size)))
+    return sized.select("*", F.explode_outer(steps).alias(name)).where(F.col(name).isNotNull())
+
+
 def blocks(genome: DataFrame, first: int, last, before: int, after: int, size: int = BLOCK) -> DataFrame:
     """seq_nr, at, k, piece: every position at + k from `first` to `last` (an expression of bases), with `before` symbols before and `after` from each in a short piece, so that no position walks a long string."""
-    at = genome.select("seq_nr", "bases", last.cast("int").alias("last")).where(F.col("last") >= first)
-    at = at.select("seq_nr", "bases", "last", F.explode(F.sequence(F.lit(first), F.col("last"), F.lit(size))).alias("at"))
+    at = _starts(genome.select("seq_nr", "bases", last.cast("int").alias("last")), first, size, "at")
     pieces = at.select("seq_nr", "at", F.least(F.lit(size - 1), F.col("last") - F.col("at")).alias("_n"), F.substring("bases", F.col("at") - before + 1, F.lit(before + size - 1 + after)).alias("piece"))
     # few long sequences, or one small file, would leave the expansion to few tasks
     pieces = pieces.repartition(2 * genome.sparkSession.sparkContext.defaultParallelism, "seq_nr", "at")
     return pieces.select("seq_nr", "at", "piece", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"))
 
 
+def around(points: DataFrame, genome: DataFrame, pos: str, before: int, after: int, name: str, size: int = BLOCK) -> DataFrame:
+    """points (seq_nr, `pos` 0-based, inside its sequence) with the symbols from `before` before `pos` to `after` after it, cut off at the ends, as `name`.
+
+    The genome meets the points in overlapping blocks, by sequence and block, so that no row carries
+    a whole sequence and the points of one sequence are spread over many keys.
+    """
+    each = _starts(genome.select("seq_nr", "bases", (F.length("bases") - 1).alias("last")), 0, size, "_first")
+    head = F.greatest(F.col("_first") - before, F.lit(0))
+    cut = each.select("seq_nr", F.floor(F.col("_first") / size).cast("long").alias("_block"), head.cast("long").alias("_head"), F.substring("bases", head + 1, F.col("_first") + size + after - head).alias("_piece"))
+    at = F.greatest(F.col(pos) - before, F.lit(0))
+    met = points.withColumn("_block", F.floor(F.col(pos) / size).cast("long")).join(cut, ["seq_nr", "_block"])
+    return met.select(*points.columns, F.substring("_piece", (at - F.col("_head") + 1).cast("int"), (F.col(pos) + after - at).cast("int")).alias(name))
+
+
 def positions(genome: DataFrame, tail: int = SEED + NEIGHBOUR) -> DataFrame:
     """seq_nr, seed_nr (0-based), seed, of every position with `tail` symbols to come; seeds with unknown symbols are left out."""
     each = blocks(genome, 0, F.length("bases") - tail, 0, SEED)
-    found = each.select("seq_nr", (F.col("at") + F.col("k")).cast("long").alias("seed_nr"), F.substring("piece", F.col("k") + 1, F.lit(SEED)).alias("seed"))
-    return found.where(~F.contains("seed", F.lit("N")))
+    seed = F.substring("piece", F.col("k") + 1, F.lit(SEED))
+    known = each.where(~F.contains("piece", F.lit("N")) | ~F.contains(seed, F.lit("N")))  # most pieces are wholly known
+    return known.select("seq_nr", (F.col("at") + F.col("k")).cast("long").alias("seed_nr"), seed.alias("seed"))
 
 
 def histogram(seeds: DataFrame) -> DataFrame:
@@ -50,10 +70,11 @@ def chunked(seeds: DataFrame, size: int = CHUNK) -> DataFrame:
 
     Ranks come from counts per seed and sequence, so that a common seed is ranked in many groups.
     """
-    per = seeds.groupBy("seed", "seq_nr").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = seeds.withColumn("_rank", F.row_number().over(Window.partitionBy("seed", "seq_nr").orderBy("seed_nr")) - 1)
+    per = ranked.groupBy("seed", "seq_nr").agg((F.max("_rank") + 1).alias("_c"))  # from the ranks, so that both sides share one exchange
     of_seed = Window.partitionBy("seed")
     before = per.select("seed", "seq_nr", F.sum("_c").over(of_seed).alias("n"), (F.sum("_c").over(of_seed.orderBy("seq_nr").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
-    ranked = seeds.withColumn("_rank", F.row_number().over(Window.partitionBy("seed", "seq_nr").orderBy("seed_nr")) - 1).join(before, ["seed", "seq_nr"])
+    ranked = ranked.join(before, ["seed", "seq_nr"])
     chunks = F.ceil(F.col("n") / size)
     each = F.ceil(F.col("n") / chunks)
     head = F.col("n") - (chunks - 1) * each

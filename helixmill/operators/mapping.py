@@ -34,12 +34,11 @@ def probes(reads: DataFrame, key: str = "num") -> DataFrame:
 
 
 def candidates(probe: DataFrame, genome: DataFrame, key: str = "num") -> DataFrame:
-    """key, seq_nr, seed_nr, chunk_id, nbr, ref_nbr: the seed join. The index keeps only seeds that some read has, and neighbours are cut from the genome after the join."""
+    """key, seq_nr, seed_nr, chunk_id, nbr, ref_nbr: the seed join. The index keeps only seeds that some read has; their positions get their neighbours from blocks of the genome before they meet the reads."""
     seeds = index.positions(genome)
-    used = index.chunked(seeds.join(probe.select("seed").distinct(), "seed", "left_semi"))
-    met = probe.join(used, "seed").select(key, "nbr", "seq_nr", "seed_nr", "chunk_id")
-    at = met.join(genome.select("seq_nr", "bases"), "seq_nr")
-    return at.select(key, "seq_nr", "seed_nr", "chunk_id", "nbr", F.substring("bases", F.col("seed_nr").cast("int") + SEED + 1, F.lit(NEIGHBOUR)).alias("ref_nbr"))
+    used = index.chunked(seeds.join(probe.select("seed").distinct(), "seed", "left_semi")).select("seed", "seq_nr", "seed_nr", "chunk_id")
+    placed = index.around(used, genome, "seed_nr", 0, SEED + NEIGHBOUR, "site")
+    return probe.join(placed, "seed").select(key, "seq_nr", "seed_nr", "chunk_id", "nbr", F.substring("site", SEED + 1, NEIGHBOUR).alias("ref_nbr"))
 
 
 def scored(found: DataFrame, gaps: bool = True) -> DataFrame:

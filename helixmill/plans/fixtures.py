@@ -13,8 +13,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """seq_nr, bases: a sequence for each document."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_nr"), encode_text(F.coalesce("text", F.lit(""))).alias("bases"))
+    """seq_nr, bases: a sequence for each document. Texts are spread before they are encoded, since one small file is one task; uses within a query share that exchange."""
+    return _encoded(_texts(spark, sf_dir))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_nr"), F.coalesce("text", F.lit("")).alias("text")).repartition(2 * spark.sparkContext.defaultParallelism, "seq_nr")
+
+
+def _encoded(texts: DataFrame) -> DataFrame:
+    return texts.select("seq_nr", encode_text(F.col("text")).alias("bases"))
+
+
+def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 700 symbols and more; symbols are as many as characters, so that the test needs no encoding."""
+    return _encoded(_texts(spark, sf_dir).where(F.length("text") >= 700))
 
 
 def single_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +38,7 @@ def single_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, start, seq1, seq2: a pair from each long document, with one substitution in the middle of the first mate."""
-    long = genome(spark, sf_dir).where(F.length("bases") >= 700)
+    long = _long(spark, sf_dir)
     at = long.withColumn("p", (1 + (F.col("seq_nr") * 37) % (F.length("bases") - 600)).cast("int"))
     one = F.substring("bases", F.col("p"), F.lit(READ))
     planted = F.concat(F.substring(one, 1, 59), F.translate(F.substring(one, 60, 1), "ACTG", "CTGA"), F.substring(one, 61, 60))
@@ -35,7 +48,7 @@ def paired_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The planted variants: chr, pos, ref, alt, cls."""
-    g = genome(spark, sf_dir).where(F.length("bases") >= 700).withColumn("p", (1 + (F.col("seq_nr") * 37) % (F.length("bases") - 600)).cast("int"))
+    g = _long(spark, sf_dir).withColumn("p", (1 + (F.col("seq_nr") * 37) % (F.length("bases") - 600)).cast("int"))
     ref = F.substring("bases", F.col("p") + 59, F.lit(1))
     return g.select(F.col("seq_nr").alias("chr"), (F.col("p") + 59).cast("long").alias("pos"), ref.alias("ref"), F.translate(ref, "ACTG", "CTGA").alias("alt"), F.lit("SUB").alias("cls"))
 
