@@ -98,7 +98,8 @@ def loads(chunks: DataFrame, parts: int) -> DataFrame:
 
 def balanced(chunks: DataFrame, parts: int, buckets: int = 4096) -> DataFrame:
     """bucket, part_id: buckets of chunks go, heaviest first, to the partition with the least workload. The driver sees the buckets only."""
-    bucket = F.pmod(F.xxhash64("seed", "chunk_id"), F.lit(buckets)).cast("int")
+    spread = F.shiftright(seed_code(F.col("seed")).cast("long") * F.lit(2654435761), 16)  # multiplicative hash; chunks of a seed go to buckets in a row
+    bucket = F.pmod(spread + F.col("chunk_id"), F.lit(buckets)).cast("int")
     weights = chunks.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("nb_nbr") * F.col("n")).alias("w")).collect()
     heap, out = [(0, p) for p in range(parts)], []
     for r in sorted(weights, key=lambda r: (-r.w, r.bucket)):

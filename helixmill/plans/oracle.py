@@ -46,6 +46,9 @@ CTE = {
     "ct": "SELECT CASE WHEN (pos + score) % 3 = 0 THEN 'FP' ELSE 'TP' END AS status, least(depth, 20) AS depth, least(pct, 99) AS pct, least(mean, 40) AS score, count(*) AS n FROM mr GROUP BY ALL",
     "gr": "SELECT d.depth, p.pct, s.score, coalesce(sum(n) FILTER (status = 'TP'), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (status = 'FP'), 0)::BIGINT AS fp FROM (SELECT unnest(range(0, 21))::INT AS depth) d, (SELECT unnest(range(1, 100))::INT AS pct) p, (SELECT unnest(range(10, 41))::INT AS score) s LEFT JOIN ct ON ct.depth = d.depth AND ct.pct >= p.pct AND ct.score BETWEEN 10 AND s.score GROUP BY ALL",
     "tn": "SELECT w.power, gr.depth, pct, score, round(CASE WHEN tp = 0 OR total = 0 THEN 0.0 ELSE pow(tp / (tp + fp), w.power) * tp / total END, 9) AS metric FROM gr JOIN (SELECT depth, coalesce(sum(n) FILTER (status = 'TP'), 0) AS total FROM ct GROUP BY depth) t ON t.depth = gr.depth, (SELECT unnest([1.0::DOUBLE, 2.0, 3.0]) AS power) w",
+    "bk": "SELECT (((list_sum(list_transform(range(1, 15), lambda i: (instr('ACTG', substr(seed, i, 1)) - 1) << (2 * (14 - i))))::BIGINT * 2654435761) >> 16) + chunk_id) % 4096 AS bucket, sum(nb_nbr * n)::BIGINT AS w FROM chunks GROUP BY 1",
+    "bo": "SELECT bucket, w, row_number() OVER (ORDER BY w DESC, bucket) AS i FROM bk",
+    "sl": "SELECT seq_nr, pos, min((ref, alt)) AS v FROM (SELECT DISTINCT seq_nr, pos, ref, alt FROM md WHERE pos > 0 AND ('0x' || substr(md5(seq_nr || ':' || pos), 1, 8))::BIGINT % 100 < 10) m JOIN g USING (seq_nr) WHERE substr(bases, pos, 12) <> repeat(substr(bases, pos, 2), 6) GROUP BY seq_nr, pos",
     "lg": "SELECT event_id AS line_no, ts, user_id % 8 AS rank, user_id AS dpu, event_type AS key, (props::JSON ->> '$.k')::BIGINT AS value FROM events",
     "dv": "SELECT rank, dpu, key, CASE WHEN key = 'click' THEN arg_max(value, (ts, line_no)) ELSE sum(value) END::BIGINT AS value FROM lg GROUP BY rank, dpu, key",
     "sp": "SELECT dpu, key, t AS start, e AS \"end\" FROM (SELECT dpu, key, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER w AS e, row_number() OVER w AS n FROM lg WINDOW w AS (PARTITION BY dpu, key ORDER BY ts, line_no)) WHERE n % 2 = 1 AND e IS NOT NULL",
@@ -95,6 +98,8 @@ _FINAL = {
     "islands": "SELECT dpu, island, key, count(*) AS n FROM (SELECT dpu, key, (sum(new) OVER (PARTITION BY dpu ORDER BY ts, line_no))::BIGINT AS island FROM (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY dpu ORDER BY ts, line_no) IS NOT DISTINCT FROM key THEN 0 ELSE 1 END AS new FROM lg)) GROUP BY ALL",
     "stage_spans": "SELECT * FROM sp",
     "stage_means": "SELECT key, round(avg(\"end\" - start), 3) AS mean FROM sp GROUP BY key",
+    "partition_lpt": "SELECT bucket::INT AS bucket, part_id::INT AS part_id FROM (WITH RECURSIVE r AS (SELECT 0::BIGINT AS i, list_transform(range(128), lambda x: 0::BIGINT) AS loads, 0::BIGINT AS part_id UNION ALL SELECT q.i + 1, list_transform(q.loads, lambda x, j: CASE WHEN j = q.p THEN x + bo.w ELSE x END), q.p - 1 FROM (SELECT i, loads, list_position(loads, list_min(loads))::BIGINT AS p FROM r) q JOIN bo ON bo.i = q.i + 1) SELECT bucket, r.part_id FROM r JOIN bo USING (i))",
+    "variant_select": "SELECT seq_nr, pos, v[1] AS ref, v[2] AS alt FROM sl JOIN (WITH RECURSIVE t AS (SELECT seq_nr, min(pos) AS pos FROM sl GROUP BY seq_nr UNION ALL SELECT t.seq_nr, min(sl.pos) AS pos FROM t JOIN sl ON sl.seq_nr = t.seq_nr AND sl.pos > t.pos + 50 GROUP BY t.seq_nr) SELECT * FROM t) USING (seq_nr, pos)",
     "dump_diff": "WITH a AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 3), b AS (SELECT c_nationkey, c_mktsegment FROM customer WHERE c_custkey % 10 <> 4) SELECT *, '<' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, '>' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)",
     "interleave": "SELECT pair_id AS ord, seq1 AS seq, 1 AS origin FROM rp UNION ALL SELECT pair_id, seq2, 2 FROM rp",
     "sort_results": "SELECT num, score::INT AS score, seq_nr, seed_nr FROM bp ORDER BY ALL",
