@@ -36,4 +36,20 @@ y AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER B
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents LEFT JOIN y USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op1_secret_scan": SECRETS, "op2_topk_search": BM25}
+TRIE = """
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS at FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, c - c % 5 AS b, (xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+  lambda r, v: list_reduce(list_prepend(xor(r, v), list_transform(range(8), lambda j: 0::BIGINT)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) ) % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT cs.c, t.at AS k, t.role, t.text FROM cs JOIN t ON t.c = cs.b AND t.at <= h UNION ALL SELECT cs.c, t.at + 1000000, t.role, t.text FROM cs JOIN t ON t.c = cs.c AND t.at > h),
+q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, role, text FROM r),
+p AS MATERIALIZED (SELECT c, 0 AS d, 0 AS n, '' AS x, '' AS px FROM cs UNION ALL
+  SELECT c, d, n, x, coalesce(lag(x) OVER (PARTITION BY c ORDER BY d), '') FROM (SELECT c, d, strlen(text) AS n, string_agg(md5(role || chr(1) || text), '') OVER (PARTITION BY c ORDER BY d) AS x FROM q)),
+e AS (SELECT c, max(d) AS last FROM p GROUP BY c),
+nodes AS MATERIALIZED (SELECT x, any_value(px) AS px, any_value(d) AS d, any_value(n) AS n, min(p.c) AS c, count(*) AS m, sha256(coalesce(string_agg(p.c::VARCHAR, ',' ORDER BY p.c) FILTER (d = last), '')) AS ends FROM p JOIN e ON e.c = p.c GROUP BY x),
+kids AS (SELECT px AS x, count(*) AS k FROM nodes WHERE d > 0 GROUP BY px),
+below AS (SELECT a.x, count(*) FILTER (kids.k IS NULL) AS leaves, sum((b.m - 1) * b.n) AS saved FROM nodes a JOIN nodes b ON starts_with(b.x, a.x) LEFT JOIN kids ON kids.x = b.x GROUP BY a.x)
+SELECT nodes.c AS conv_id, nodes.d::BIGINT AS depth, CASE WHEN nodes.d > 0 THEN up.c END AS parent_conv_id, nodes.m AS n_convs, coalesce(kids.k, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN below USING (x) LEFT JOIN kids USING (x) JOIN nodes up ON up.x = nodes.px
+"""
+
+ORACLE: dict[str, str] = {"op1_secret_scan": SECRETS, "op2_topk_search": BM25, "op13_prefix_trie": TRIE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, secret_ledger, setjoin, toxicity_kn
+from . import bm25_wand, feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, prefix_trie, secret_ledger, setjoin, toxicity_kn
 from ._spark import documents
 
 
@@ -59,6 +59,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity_kn.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.digest(nodes)
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_topk_search": op2_topk_search,
@@ -70,4 +75,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_prefix_trie": op13_prefix_trie,
 }
