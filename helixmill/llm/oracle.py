@@ -52,4 +52,14 @@ SELECT nodes.c AS conv_id, nodes.d::BIGINT AS depth, CASE WHEN nodes.d > 0 THEN
 FROM nodes JOIN below USING (x) LEFT JOIN kids USING (x) JOIN nodes up ON up.x = nodes.px
 """
 
-ORACLE: dict[str, str] = {"op1_secret_scan": SECRETS, "op2_topk_search": BM25, "op13_prefix_trie": TRIE}
+NEGATIVES = """
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.id AS anchor, a.label AS of, b.id, b.label, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON b.id <> a.id WHERE a.id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS r FROM s WHERE label = of) WHERE r <= 5)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, id AS negative_id, positive_score, score AS negative_score FROM (
+  SELECT p.anchor, p.id AS positive, p.score AS positive_score, s.id, s.score, row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor = p.anchor AND s.label <> p.of AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score) WHERE rank <= 3
+"""
+
+ORACLE: dict[str, str] = {"op1_secret_scan": SECRETS, "op2_topk_search": BM25, "op11_hard_negatives": NEGATIVES, "op13_prefix_trie": TRIE}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, prefix_trie, secret_ledger, setjoin, toxicity_kn
+from . import bm25_wand, feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, prefix_trie, secret_ledger, setjoin, toxicity_kn, vp_negatives
 from ._spark import documents
 
 
@@ -59,6 +59,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity_kn.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = vp_negatives.mine(vectors, F.col("id") % 50 == 0, label=label)
+    return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie.digest(nodes)
@@ -75,5 +82,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_prefix_trie": op13_prefix_trie,
 }
