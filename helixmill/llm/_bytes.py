@@ -82,7 +82,7 @@ LETTER_WORDS = byte_table(lambda b: 65 <= b <= 90 or 97 <= b <= 122 or b >= 128,
 
 
 def words(data: np.ndarray, off: np.ndarray, table: np.ndarray, head: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Digests of all words of the rows, each row's first word, and with `head` the digests of the words' first bytes.
+    """Digests of all words of the rows, each row's first word, and with `head` the digests of the words' first bytes (last, if negative).
 
     Rows longer than a piece are hashed in pieces that end between words.
     """
@@ -127,6 +127,9 @@ def _piece(b: np.ndarray, cuts: np.ndarray, head: int):
     h = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
     if not head:
         return h, s, None
+    if head < 0:
+        f = np.maximum(s, e + head)
+        return h, s, mix((total[e] - total[f]) * inverse[f])
     f = np.minimum(e, s + head)
     return h, s, mix((total[f] - total[s]) * inverse[s])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bm25_wand, feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, prefix_trie, secret_ledger, setjoin, toxicity_kn, vp_negatives
+from . import bm25_wand, brown_lm, feistel_shards, gga_pack, iblt_fingerprint, langid_svm, pfair_mix, pii_disclosure, prefix_trie, secret_ledger, setjoin, toxicity_kn, vp_negatives
 from ._spark import documents
 
 
@@ -66,6 +66,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")
 
 
+def op12_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", brown_lm.held_out().alias("held_out"))
+    model = brown_lm.learn(docs.where("NOT held_out"))
+    seen = brown_lm.score(docs, model, ["doc_id", "held_out"])
+    return seen.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie.digest(nodes)
@@ -83,5 +90,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_brown_lm": op12_brown_lm,
     "op13_prefix_trie": op13_prefix_trie,
 }
