@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,13 +16,13 @@ TEXT_CODES = "".join(SYMBOLS[(c >> 1) & 3] for c in range(1, 256))
 
 
 def encode_text(text: Column) -> Column:
-    """Any text as symbols; characters over 255 stay, and count as unknown."""
-    return F.translate(text, CHARACTERS, TEXT_CODES)
+    """Any text as symbols; what the code formula has no byte for is unknown, N."""
+    return F.regexp_replace(F.translate(text, CHARACTERS, TEXT_CODES), "[^ACTG]", "N")
 
 
 def encode_reference(line: Column) -> Column:
     """Reference symbols: N stays unknown, all else follows the code formula."""
-    return F.translate(line, CHARACTERS.replace("N", ""), "".join(SYMBOLS[(ord(c) >> 1) & 3] for c in CHARACTERS if c != "N"))
+    return F.regexp_replace(F.translate(line, CHARACTERS.replace("N", ""), "".join(SYMBOLS[(ord(c) >> 1) & 3] for c in CHARACTERS if c != "N")), "[^ACTGN]", "N")
 
 
 def base_code(symbol: Column) -> Column:
@@ -50,22 +48,34 @@ def seed_code(seq: Column) -> Column:
     return F.when(F.rlike(d, F.lit(f"^[0-3]{{{SEED}}}$")), F.conv(d, 4, 10).cast("int")).otherwise(F.lit(-1))
 
 
-def packed(seq: Column, at: int, n: int = 26) -> Column:
-    """`n` symbols (26 at most) from `at` as a long, two bits each."""
-    return F.conv(F.translate(F.substring(seq, at, n), "ACTGN", "01230"), 4, 10).cast("long")
+#: Symbols of a word of two bits each; bits that are set where two symbols differ.
+WORD, LOW_BITS = 26, 0x5555555555555
 
 
-def mismatches(a: Column, b: Column, length: int = NEIGHBOUR) -> Column:
-    """Positions where two sequences of this length differ, N counting as A. Compared as bytes, a batch at a time: no built-in function compares two strings by position."""
+def packed(seq: Column, at: int, n: int = WORD) -> Column:
+    """`n` symbols (26 at most) from `at` as a long, two bits each, the first the highest; unknown and missing ones count as A."""
+    known = F.rpad(F.translate(F.substring(seq, at, n), "ACTGN", "01230"), n, "0")
+    return F.conv(known, 4, 10).cast("long")
+
+
+def neighbour_words(seq: Column, at: int = SEED + 1, length: int = NEIGHBOUR) -> list[Column]:
+    """The symbols from `at` on as words of 26."""
+    return [packed(seq, at + k, min(WORD, length - k)) for k in range(0, length, WORD)]
 
-    @F.pandas_udf("int")
-    def differ(x: pd.Series, y: pd.Series) -> pd.Series:
-        whole = lambda v: v if v is not None and len(v) == length else (v or "")[:length].ljust(length)
-        sides = [np.frombuffer("".join(map(whole, v)).encode("latin-1", "replace"), np.uint8).reshape(-1, length) for v in (x, y)]
-        sides = [np.where((v == ord("N")) | (v == ord(" ")), ord("A"), v) for v in sides]
-        return pd.Series((sides[0] != sides[1]).sum(1).astype(np.int32))
 
-    return differ(a, b)
+def word_mismatches(a: list[Column], b: list[Column]) -> Column:
+    """Positions where words of symbols differ."""
+    out = None
+    for x, y in zip(a, b, strict=True):
+        differ = x.bitwiseXOR(y)
+        n = F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(LOW_BITS)))
+        out = n if out is None else out + n
+    return out
+
+
+def mismatches(a: Column, b: Column, length: int = NEIGHBOUR) -> Column:
+    """Positions where two sequences of this length differ, N counting as A."""
+    return word_mismatches(neighbour_words(a, 1, length), neighbour_words(b, 1, length))
 
 
 def homopolymer(bases: Column, pos: Column, n: int = 12) -> Column:

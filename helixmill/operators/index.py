@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.codec import CHUNK, NEIGHBOUR, SEED, seed_code
+from ..functions.codec import CHUNK, NEIGHBOUR, SEED, WORD
+from ..sources import shared
+from . import store
 
-VERSION = 1
-#: Positions that are cut from one piece of a sequence.
-BLOCK = 64
+MAGIC, VERSION = "helixmill-index", 2
+#: Positions of a sequence whose occurrences of a seed are ranked together.
+RANKED = 1 << 16
 
 
 def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
@@ -24,41 +29,37 @@ def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
     return sized.withColumn("_inside", inside).join(before, "_group").select("seq_nr", "seq_len", (F.col("_before") + F.col("_inside")).alias("pt_seq"))
 
 
-def _starts(sized: DataFrame, first: int, size: int, name: str) -> DataFrame:
-    """sized with a row for every `size` positions from `first` to `last`. The outer form keeps the test of `last` above the expansion: below it, `bases` would be computed once more for the test alone."""
-    steps = F.when(F.col("last") >= first, F.sequence(F.lit(first), F.greatest(F.col("last"), F.lit(first)), F.lit(size)))
-    return sized.select("*", F.explode_outer(steps).alias(name)).where(F.col(name).isNotNull())
+def _seeds(seq_nr: int, first: int, left: int, size: int, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of a block: seeds and neighbours are rolled up by doubling, the first symbol in the highest bits."""
+    n = max(0, min(size, len(codes) - left - SEED - NEIGHBOUR + 1))
+    known = np.concatenate([[0], np.cumsum(codes == 4)])
+    at = left + np.flatnonzero(known[left + SEED : left + SEED + n] == known[left : left + n])
+    r = {1: (codes & 3).astype(np.int64)}
+    for k in (1, 2, 4, 8):
+        r[2 * k] = (r[k][:-k] << (2 * k)) | r[k][k:]
+    seed = (r[8][at] << 12) | (r[4][at + 8] << 4) | r[2][at + 12]
+    words = [(r[16][p] << 20) | (r[8][p + 16] << 4) | r[2][p + 24] for p in (at + SEED + k for k in range(0, NEIGHBOUR, WORD))]
+    return (np.full(len(at), seq_nr, np.int64), first + (at - left).astype(np.int64), seed.astype(np.int32), *words)
 
 
-def blocks(genome: DataFrame, first: int, last, before: int, after: int, size: int = BLOCK) -> DataFrame:
-    """seq_nr, at, k, piece: every position at + k from `first` to `last` (an expression of bases), with `before` symbols before and `after` from each in a short piece, so that no position walks a long string."""
-    at = _starts(genome.select("seq_nr", "bases", last.cast("int").alias("last")), first, size, "at")
-    pieces = at.select("seq_nr", "at", F.least(F.lit(size - 1), F.col("last") - F.col("at")).alias("_n"), F.substring("bases", F.col("at") - before + 1, F.lit(before + size - 1 + after)).alias("piece"))
-    # few long sequences, or one small file, would leave the expansion to few tasks
-    pieces = pieces.repartition(2 * genome.sparkSession.sparkContext.defaultParallelism, "seq_nr", "at")
-    return pieces.select("seq_nr", "at", "piece", F.explode(F.sequence(F.lit(0), F.col("_n"))).alias("k"))
+WORDS = [f"w{k}" for k in range(NEIGHBOUR // WORD)]
 
 
-def around(points: DataFrame, genome: DataFrame, pos: str, before: int, after: int, name: str, size: int = BLOCK) -> DataFrame:
-    """points (seq_nr, `pos` 0-based, inside its sequence) with the symbols from `before` before `pos` to `after` after it, cut off at the ends, as `name`.
+def positions(genome: DataFrame) -> DataFrame:
+    """seq_nr, seed_nr (0-based), seed (its number), w0 to w3 (its neighbour), of every position with a whole neighbour; seeds with unknown symbols are left out."""
+    return store.scan(genome, _seeds, ", ".join(["seq_nr long", "seed_nr long", "seed int", *(f"{w} long" for w in WORDS)]))
 
-    The genome meets the points in overlapping blocks, by sequence and block, so that no row carries
-    a whole sequence and the points of one sequence are spread over many keys.
-    """
-    each = _starts(genome.select("seq_nr", "bases", (F.length("bases") - 1).alias("last")), 0, size, "_first")
-    head = F.greatest(F.col("_first") - before, F.lit(0))
-    cut = each.select("seq_nr", F.floor(F.col("_first") / size).cast("long").alias("_block"), head.cast("long").alias("_head"), F.substring("bases", head + 1, F.col("_first") + size + after - head).alias("_piece"))
-    at = F.greatest(F.col(pos) - before, F.lit(0))
-    met = points.withColumn("_block", F.floor(F.col(pos) / size).cast("long")).join(cut, ["seq_nr", "_block"])
-    return met.select(*points.columns, F.substring("_piece", (at - F.col("_head") + 1).cast("int"), (F.col(pos) + after - at).cast("int")).alias(name))
 
+def homopolymers(genome: DataFrame, n: int = 12) -> DataFrame:
+    """seq_nr, pos: 0-based positions whose `n` symbols before are all alike."""
+
+    def found(seq_nr: int, first: int, left: int, size: int, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        turns = np.concatenate([[0], np.cumsum(codes[1:] != codes[:-1])])
+        at = np.arange(max(left, n), left + size)
+        at = at[turns[at - 1] == turns[at - n]]
+        return np.full(len(at), seq_nr, np.int64), (first + at - left).astype(np.int64)
 
-def positions(genome: DataFrame, tail: int = SEED + NEIGHBOUR) -> DataFrame:
-    """seq_nr, seed_nr (0-based), seed, of every position with `tail` symbols to come; seeds with unknown symbols are left out."""
-    each = blocks(genome, 0, F.length("bases") - tail, 0, SEED)
-    seed = F.substring("piece", F.col("k") + 1, F.lit(SEED))
-    known = each.where(~F.contains("piece", F.lit("N")) | ~F.contains(seed, F.lit("N")))  # most pieces are wholly known
-    return known.select("seq_nr", (F.col("at") + F.col("k")).cast("long").alias("seed_nr"), seed.alias("seed"))
+    return store.scan(genome, found, "seq_nr long, pos long")
 
 
 def histogram(seeds: DataFrame) -> DataFrame:
@@ -68,13 +69,14 @@ def histogram(seeds: DataFrame) -> DataFrame:
 def chunked(seeds: DataFrame, size: int = CHUNK) -> DataFrame:
     """seeds with n, ord and chunk_id: no chunk of a seed holds over `size`; the first takes what equal others leave.
 
-    Ranks come from counts per seed and sequence, so that a common seed is ranked in many groups.
+    Ranks come from counts per seed and stretch of a sequence, so that a common seed is ranked in many groups.
     """
-    ranked = seeds.withColumn("_rank", F.row_number().over(Window.partitionBy("seed", "seq_nr").orderBy("seed_nr")) - 1)
-    per = ranked.groupBy("seed", "seq_nr").agg((F.max("_rank") + 1).alias("_c"))  # from the ranks, so that both sides share one exchange
+    far = seeds.withColumn("_far", F.floor(F.col("seed_nr") / RANKED))
+    ranked = far.withColumn("_rank", F.row_number().over(Window.partitionBy("seed", "seq_nr", "_far").orderBy("seed_nr")) - 1)
+    per = ranked.groupBy("seed", "seq_nr", "_far").agg((F.max("_rank") + 1).alias("_c"))  # from the ranks, so that both sides share one exchange
     of_seed = Window.partitionBy("seed")
-    before = per.select("seed", "seq_nr", F.sum("_c").over(of_seed).alias("n"), (F.sum("_c").over(of_seed.orderBy("seq_nr").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
-    ranked = ranked.join(before, ["seed", "seq_nr"])
+    before = per.select("seed", "seq_nr", "_far", F.sum("_c").over(of_seed).alias("n"), (F.sum("_c").over(of_seed.orderBy("seq_nr", "_far").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_before"))
+    ranked = ranked.join(before, ["seed", "seq_nr", "_far"])
     chunks = F.ceil(F.col("n") / size)
     each = F.ceil(F.col("n") / chunks)
     head = F.col("n") - (chunks - 1) * each
@@ -92,13 +94,13 @@ def chunk_sizes(counts: DataFrame, size: int = CHUNK) -> DataFrame:
 
 def loads(chunks: DataFrame, parts: int) -> DataFrame:
     """part_id, size and workload (neighbours times occurrences of the seed) of partitions by seed code and chunk."""
-    part = F.pmod(seed_code(F.col("seed")) + F.col("chunk_id"), F.lit(parts))
+    part = F.pmod(F.col("seed") + F.col("chunk_id"), F.lit(parts))
     return chunks.groupBy(part.alias("part_id")).agg(F.sum("nb_nbr").alias("size"), F.sum(F.col("nb_nbr") * F.col("n")).alias("workload"))
 
 
 def balanced(chunks: DataFrame, parts: int, buckets: int = 4096) -> DataFrame:
     """bucket, part_id: buckets of chunks go, heaviest first, to the partition with the least workload. The driver sees the buckets only."""
-    spread = F.shiftright(seed_code(F.col("seed")).cast("long") * F.lit(2654435761), 16)  # multiplicative hash; chunks of a seed go to buckets in a row
+    spread = F.shiftright(F.col("seed").cast("long") * F.lit(2654435761), 16)  # multiplicative hash; chunks of a seed go to buckets in a row
     bucket = F.pmod(spread + F.col("chunk_id"), F.lit(buckets)).cast("int")
     weights = chunks.groupBy(bucket.alias("bucket")).agg(F.sum(F.col("nb_nbr") * F.col("n")).alias("w")).collect()
     heap, out = [(0, p) for p in range(parts)], []
@@ -109,19 +111,63 @@ def balanced(chunks: DataFrame, parts: int, buckets: int = 4096) -> DataFrame:
     return chunks.sparkSession.createDataFrame(out, "bucket int, part_id int")
 
 
-def write_index(seeds: DataFrame, path: str, parts: int = 128) -> None:
-    """Parquet by part_id (hash of the seed), sorted by seed; fails if the folder exists."""
-    part = F.pmod(F.xxhash64("seed"), F.lit(parts)).cast("int")
-    placed = seeds.withColumn("part_id", part).repartition(parts, "part_id").sortWithinPartitions("part_id", "seed")
-    placed.write.mode("errorifexists").partitionBy("part_id").parquet(f"{path}/index")
-    meta = json.dumps({"version": VERSION, "seed": SEED, "neighbour": NEIGHBOUR, "parts": parts})
-    seeds.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/meta")
+@dataclass
+class Index:
+    """Rows with seed, chunk_id, seq_nr, seed_nr and words; and the seeds of several chunks with their last."""
+
+    rows: DataFrame
+    common: DataFrame
+
+
+def used(genome: DataFrame, seeds: DataFrame, size: int = CHUNK) -> Index:
+    """The index of those seeds of a genome that are asked for, for one batch of reads."""
+    here = positions(genome).join(seeds.select("seed").distinct(), "seed", "left_semi")
+    return Index(chunked(here, size).select("seed", "chunk_id", "seq_nr", "seed_nr", *WORDS), common(histogram(here), size))
+
+
+def common(counts: DataFrame, size: int = CHUNK) -> DataFrame:
+    """seed, last: the seeds of several chunks, one in `size` positions at most."""
+    return counts.where(F.col("n") > size).select("seed", (F.ceil(F.col("n") / size) - 1).cast("int").alias("last"))
+
+
+ROW = ", ".join(["seed int", "chunk_id int", "seq_nr long", "seed_nr long", *(f"{w} long" for w in WORDS)])
+
+
+def _table(path: str) -> str:
+    return f"helixmill_index_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def write_index(genome: DataFrame, path: str, parts: int = 128, size: int = CHUNK) -> None:
+    """The index of a genome at a new path: Parquet, bucketed and sorted by seed and chunk, so that reads are joined without moving it."""
+    spark = genome.sparkSession
+    if shared.exists(spark, path):
+        raise FileExistsError(path)
+    seeds = positions(genome)
+    rows = chunked(seeds, size).select("seed", "chunk_id", "seq_nr", "seed_nr", *WORDS)
+    placed = rows.repartition(parts, "seed", "chunk_id").sortWithinPartitions("seed", "chunk_id")
+    name = _table(path)
+    placed.write.bucketBy(parts, "seed", "chunk_id").sortBy("seed", "chunk_id").option("path", f"{path}/index").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay
+    common(histogram(seeds), size).coalesce(1).write.parquet(f"{path}/common")
+    meta = json.dumps({"magic": MAGIC, "version": VERSION, "seed": SEED, "neighbour": NEIGHBOUR, "parts": parts})
+    spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{path}/meta")
 
 
-def read_index(spark: SparkSession, path: str, part_ids: list[int] | None = None) -> DataFrame:
-    """The stored index, or some of its partitions; checks its version and sizes."""
+def read_index(spark: SparkSession, path: str, part_ids: list[int] | None = None) -> Index:
+    """The stored index, or the files of some of its partitions alone; another version or other sizes are refused."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    if (meta["version"], meta["seed"], meta["neighbour"]) != (VERSION, SEED, NEIGHBOUR):
+    if (meta.get("magic"), meta["version"], meta["seed"], meta["neighbour"]) != (MAGIC, VERSION, SEED, NEIGHBOUR):
         raise ValueError(f"index of version {meta['version']} with seeds of {meta['seed']} and neighbours of {meta['neighbour']}")
-    found = spark.read.parquet(f"{path}/index")
-    return found if part_ids is None else found.where(F.col("part_id").isin(part_ids))
+    several = spark.read.schema("seed int, last int").parquet(f"{path}/common")
+    if part_ids is not None:
+        files = [f"{path}/index/*_{p:05d}.c*" for p in part_ids]  # the bucket is part of a file's name
+        there = [f for f in files if _any(spark, f)]
+        return Index(spark.read.schema(ROW).parquet(*there) if there else spark.createDataFrame([], ROW), several)
+    name = _table(path)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ROW}) USING parquet CLUSTERED BY (seed, chunk_id) SORTED BY (seed, chunk_id) INTO {meta['parts']} BUCKETS LOCATION '{path}/index'")
+    return Index(spark.table(name), several)
+
+
+def _any(spark: SparkSession, pattern: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(there.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(there))

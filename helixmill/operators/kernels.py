@@ -12,10 +12,21 @@ SUB, OPEN, EXTEND, REACH, NONE = 10, 11, 1, 7, 99
 LONGEST_ALLELE = 6
 
 
+#: Codes by byte; all but ACTG count as 0.
+BYTE_CODES = np.zeros(256, np.uint8)
+BYTE_CODES[[ord(c) for c in "ACTG"]] = range(4)
+
+
 def codes(sequences) -> np.ndarray:
-    """Symbols of equal-length sequences as codes 0 to 3; unknown counts as 0."""
-    raw = np.frombuffer("".join(sequences).encode("latin-1"), np.uint8).reshape(len(sequences), -1)
-    return np.where(raw == ord("N"), 0, (raw >> 1) & 3).astype(np.uint8)
+    """Symbols of equal-length sequences as codes 0 to 3; unknown, of any character set, counts as 0."""
+    raw = np.frombuffer("".join(sequences).encode("latin-1", "replace"), np.uint8).reshape(len(sequences), -1)
+    return BYTE_CODES[raw]
+
+
+def word_codes(words: np.ndarray, word: int = 26) -> np.ndarray:
+    """The codes of rows of words, the first symbol of each in its highest bits."""
+    shifts = np.arange(2 * (word - 1), -1, -2).astype(np.uint64)
+    return ((words.astype(np.uint64)[:, :, None] >> shifts) & np.uint64(3)).astype(np.uint8).reshape(len(words), -1)
 
 
 def pack(code: np.ndarray) -> np.ndarray:
@@ -73,7 +84,10 @@ def score(a, b, most: int = 40) -> np.ndarray:
     """Substitution scores, and gapped ones where those hint at a gap."""
     if not len(a):
         return np.zeros(0, np.int32)
-    x, y = codes(a), codes(b)
+    return score_codes(codes(a), codes(b), most)
+
+
+def score_codes(x: np.ndarray, y: np.ndarray, most: int = 40) -> np.ndarray:
     out = substitutions(pack(x), pack(y), most)
     flagged = np.flatnonzero(out < 0)
     if len(flagged):

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
-from ..functions.codec import MAX_SCORE, NEIGHBOUR, SEED, SUBSTITUTION, mismatches, reverse_complement
+from ..functions.codec import MAX_SCORE, SUBSTITUTION, neighbour_words, reverse_complement, seed_code, word_mismatches
 from . import index, kernels
 
 
@@ -28,23 +29,40 @@ def orient(pairs: DataFrame) -> DataFrame:
     return four.select((4 * F.col("pair_id") + F.col("type")).alias("num"), "pair_id", "type", "seq")
 
 
+READ_WORDS = [f"r{k}" for k in range(len(index.WORDS))]
+
+
+@pandas_udf(IntegerType())
+def word_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    """align_score of neighbours as words: those of the read, then those of the reference."""
+    for columns in batches:
+        words = np.stack([c.to_numpy() for c in columns], 1)
+        half = words.shape[1] // 2
+        out = kernels.score_codes(kernels.word_codes(words[:, :half]), kernels.word_codes(words[:, half:]), MAX_SCORE) if len(words) else np.zeros(0, np.int32)
+        yield pd.Series(out.astype(np.int32))
+
+
 def probes(reads: DataFrame, key: str = "num") -> DataFrame:
-    """key, seed and neighbour of each read."""
-    return reads.select(key, F.substring("seq", 1, SEED).alias("seed"), F.substring("seq", SEED + 1, NEIGHBOUR).alias("nbr"))
+    """key, seed and the words of the neighbour of each read; reads whose seed has an unknown symbol find nothing."""
+    words = [w.alias(r) for r, w in zip(READ_WORDS, neighbour_words(F.col("seq")), strict=True)]
+    return reads.select(key, seed_code(F.col("seq")).alias("seed"), *words).where("seed >= 0")
+
 
+def candidates(probe: DataFrame, target: DataFrame | index.Index, key: str = "num") -> DataFrame:
+    """key, seq_nr, seed_nr, chunk_id and the words of read and reference: the seed join, with a genome or with an index.
 
-def candidates(probe: DataFrame, genome: DataFrame, key: str = "num") -> DataFrame:
-    """key, seq_nr, seed_nr, chunk_id, nbr, ref_nbr: the seed join. The index keeps only seeds that some read has; their positions get their neighbours from blocks of the genome before they meet the reads."""
-    seeds = index.positions(genome)
-    used = index.chunked(seeds.join(probe.select("seed").distinct(), "seed", "left_semi")).select("seed", "seq_nr", "seed_nr", "chunk_id")
-    placed = index.around(used, genome, "seed_nr", 0, SEED + NEIGHBOUR, "site")
-    return probe.join(placed, "seed").select(key, "seq_nr", "seed_nr", "chunk_id", "nbr", F.substring("site", SEED + 1, NEIGHBOUR).alias("ref_nbr"))
+    A read meets each chunk of its seed apart, so that a common seed is many keys. Of a genome only the seeds that some read has are indexed.
+    """
+    found = target if isinstance(target, index.Index) else index.used(target, probe)
+    asked = probe.join(found.common, "seed", "left").withColumn("chunk_id", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0))))).drop("last")
+    return asked.join(found.rows, ["seed", "chunk_id"]).select(key, "seq_nr", "seed_nr", "chunk_id", *READ_WORDS, *index.WORDS)
 
 
 def scored(found: DataFrame, gaps: bool = True) -> DataFrame:
     """Candidates with a score of 40 at most, of substitutions alone or with gaps."""
-    score = align_score("nbr", "ref_nbr") if gaps else (SUBSTITUTION * mismatches(F.col("nbr"), F.col("ref_nbr"))).cast("int")
-    return found.withColumn("score", score).where(F.col("score") <= MAX_SCORE).drop("nbr", "ref_nbr")
+    own, other = [F.col(c) for c in READ_WORDS], [F.col(c) for c in index.WORDS]
+    score = word_score(*own, *other) if gaps else (SUBSTITUTION * word_mismatches(own, other)).cast("int")
+    return found.withColumn("score", score).where(F.col("score") <= MAX_SCORE).drop(*READ_WORDS, *index.WORDS)
 
 
 def best(hits: DataFrame, key: str = "num") -> DataFrame:
@@ -52,9 +70,9 @@ def best(hits: DataFrame, key: str = "num") -> DataFrame:
     return hits.withColumn("_r", F.rank().over(Window.partitionBy(key, "chunk_id").orderBy("score"))).where("_r = 1").drop("_r")
 
 
-def map_reads(pairs: DataFrame, genome: DataFrame, gaps: bool = True) -> DataFrame:
-    """num, seq_nr, seed_nr, chunk_id, score: best hits of all orientations of all pairs."""
-    return best(scored(candidates(probes(orient(pairs)), genome), gaps))
+def map_reads(pairs: DataFrame, target: DataFrame | index.Index, gaps: bool = True) -> DataFrame:
+    """num, seq_nr, seed_nr, chunk_id, score: best hits of all orientations of all pairs, in a genome (sequences or blocks) or by an index, stored or not."""
+    return best(scored(candidates(probes(orient(pairs)), target), gaps))
 
 
 def register(spark) -> None:

@@ -9,12 +9,16 @@ _Q = CHARACTERS.replace("'", "''")
 
 
 def _encode(text: str) -> str:
-    return f"translate({text}, '{_Q}', '{TEXT_CODES}')"
+    return f"regexp_replace(translate({text}, '{_Q}', '{TEXT_CODES}'), '[^ACTG]', 'N', 'g')"
+
+
+def _score(read: str, site: str) -> str:
+    return f"10 * hamming(translate({read}, 'N', 'A'), translate({site}, 'N', 'A'))"
 
 
 CTE = {
     "g": f"SELECT doc_id AS seq_nr, {_encode("coalesce(text, '')")} AS bases FROM documents",
-    "k": "SELECT seq_nr, p - 1 AS seed_nr, substr(bases, p, 14) AS seed, substr(bases, p + 14, 104) AS nbr FROM (SELECT seq_nr, bases, unnest(range(1, length(bases) - 116)) AS p FROM g WHERE length(bases) >= 118)",
+    "k": "SELECT seq_nr, p - 1 AS seed_nr, substr(bases, p, 14) AS seed, substr(bases, p + 14, 104) AS nbr FROM (SELECT seq_nr, bases, unnest(range(1, length(bases) - 116)) AS p FROM g WHERE length(bases) >= 118) WHERE instr(substr(bases, p, 14), 'N') = 0",
     "kc": "SELECT *, count(*) OVER (PARTITION BY seed) AS n, row_number() OVER (PARTITION BY seed ORDER BY seq_nr, seed_nr) - 1 AS o FROM k",
     "kk": "SELECT *, CASE WHEN o < n - (ceil(n / 500) - 1) * ceil(n / ceil(n / 500)) THEN 0 ELSE 1 + floor((o - (n - (ceil(n / 500) - 1) * ceil(n / ceil(n / 500)))) / ceil(n / ceil(n / 500))) END::INT AS chunk_id FROM kc",
     "hist": "SELECT seed, count(*) AS n FROM k GROUP BY seed",
@@ -23,8 +27,8 @@ CTE = {
     "rl": "SELECT seq_nr, bases, 1 + (seq_nr * 37) % (length(bases) - 600) AS p FROM g WHERE length(bases) >= 700",
     "rp": "SELECT seq_nr AS pair_id, p - 1 AS start, substr(bases, p, 59) || translate(substr(bases, p + 59, 1), 'ACTG', 'CTGA') || substr(bases, p + 60, 60) AS seq1, reverse(translate(substr(bases, p + 230, 120), 'ACTG', 'TGAC')) AS seq2 FROM rl",
     "ro": "SELECT 4 * pair_id + t AS num, pair_id, t AS type, CASE t WHEN 0 THEN seq1 WHEN 1 THEN reverse(translate(seq1, 'ACTG', 'TGAC')) WHEN 2 THEN seq2 ELSE reverse(translate(seq2, 'ACTG', 'TGAC')) END AS seq FROM rp, (SELECT unnest([0, 1, 2, 3]) AS t)",
-    "hs": "SELECT num, seq_nr, seed_nr, chunk_id, 10 * hamming(substr(seq, 15, 104), nbr) AS score FROM rs JOIN kk ON seed = substr(seq, 1, 14)",
-    "hp": "SELECT num, seq_nr, seed_nr, chunk_id, 10 * hamming(substr(seq, 15, 104), nbr) AS score FROM ro JOIN kk ON seed = substr(seq, 1, 14)",
+    "hs": f"SELECT num, seq_nr, seed_nr, chunk_id, {_score('substr(seq, 15, 104)', 'nbr')} AS score FROM rs JOIN kk ON seed = substr(seq, 1, 14)",
+    "hp": f"SELECT num, seq_nr, seed_nr, chunk_id, {_score('substr(seq, 15, 104)', 'nbr')} AS score FROM ro JOIN kk ON seed = substr(seq, 1, 14)",
     "bp": "SELECT num, seq_nr, seed_nr, chunk_id, score FROM (SELECT *, rank() OVER (PARTITION BY num, chunk_id ORDER BY score) AS r FROM hp WHERE score <= 40) WHERE r = 1",
     "pc": "SELECT DISTINCT a.num // 4 AS pair_id, a.num % 4 AS type1, a.seq_nr AS seq1, a.seed_nr AS pos1, a.score AS score1, b.num % 4 AS type2, b.seq_nr AS seq2, b.seed_nr AS pos2, b.score AS score2 FROM bp a JOIN bp b ON a.num // 4 = b.num // 4 AND a.num % 4 + b.num % 4 = 3 AND a.num % 4 < b.num % 4 AND abs(a.seed_nr - b.seed_nr) BETWEEN 131 AND 429",
     "bb": "SELECT *, count(*) OVER (PARTITION BY pair_id) AS n_tied FROM (SELECT *, score1 + score2 AS total, rank() OVER (PARTITION BY pair_id ORDER BY score1 + score2) AS r FROM pc) WHERE r = 1",
@@ -34,7 +38,7 @@ CTE = {
     "st": "SELECT seq1 AS seq_nr, pos1 AS pos FROM tb UNION ALL SELECT seq2, pos2 FROM tb",
     "un": "SELECT DISTINCT num // 4 AS pair_id FROM bp WHERE num // 4 NOT IN (SELECT pair_id FROM pc WHERE seq1 = seq2 AND score1 = 0 AND score2 = 0)",
     "pl": "SELECT 4 * pair_id + type1 AS num, seq1 AS seq_nr, pos1 AS start, score1 AS score FROM tb UNION ALL SELECT 4 * pair_id + type2, seq2, pos2, score2 FROM tb",
-    "sv": "SELECT seq_nr, pos, ref, alt, count(*) AS depth, sum(score)::BIGINT AS score FROM (SELECT pl.seq_nr, start + 14 + i AS pos, substr(bases, start + 14 + i, 1) AS ref, substr(seq, 14 + i, 1) AS alt, score FROM pl JOIN ro USING (num) JOIN g ON g.seq_nr = pl.seq_nr, (SELECT unnest(range(1, 105)) AS i) WHERE score > 0) WHERE ref <> alt GROUP BY ALL",
+    "sv": "SELECT seq_nr, pos, ref, alt, count(*) AS depth, sum(score)::BIGINT AS score FROM (SELECT pl.seq_nr, start + 14 + i AS pos, substr(bases, start + 14 + i, 1) AS ref, substr(seq, 14 + i, 1) AS alt, score FROM pl JOIN ro USING (num) JOIN g ON g.seq_nr = pl.seq_nr, (SELECT unnest(range(1, 105)) AS i) WHERE score > 0) WHERE translate(ref, 'N', 'A') <> translate(alt, 'N', 'A') GROUP BY ALL",
     "tr": "SELECT seq_nr AS chr, p + 59 AS pos, substr(bases, p + 59, 1) AS ref, translate(substr(bases, p + 59, 1), 'ACTG', 'CTGA') AS alt FROM rl",
     "cm": "SELECT CASE WHEN a.pos IS NULL THEN 'FN' WHEN b.pos IS NULL THEN 'FP' ELSE 'TP' END AS status FROM sv a FULL JOIN tr b ON a.seq_nr = b.chr AND a.pos = b.pos AND a.ref = b.ref AND a.alt = b.alt",
     "ev": "SELECT 'SUB' AS cls, count(*) FILTER (status = 'TP') AS tp, count(*) FILTER (status = 'FP') AS fp, count(*) FILTER (status = 'FN') AS fn FROM cm",
@@ -61,7 +65,7 @@ _FINAL = {
     "seed_code": "SELECT num, list_sum(list_transform(range(1, 15), lambda i: (instr('ACTG', substr(seq, i, 1)) - 1) << (2 * (14 - i))))::INT AS code FROM rs",
     "base_roundtrip": "SELECT num, ((ascii(substr(seq, 1, 1)) >> 1) & 3)::INT AS code, substr(seq, 1, 1) AS base, substr(seq, 49, 12) = repeat(substr(seq, 49, 1), 12) AS homopolymer, substr(seq, 1, 12) = repeat(substr(seq, 1, 2), 6) AS weak FROM rs",
     "genome_dim": "SELECT seq_nr, length(bases) AS seq_len, (sum(length(bases)) OVER (ORDER BY seq_nr) - length(bases))::BIGINT AS pt_seq FROM g",
-    "genome_access": "SELECT seq_nr, substr(bases, 41, 20) AS found FROM g WHERE length(bases) >= 60",
+    "genome_access": "SELECT seq_nr, first, md5(substr(bases, first, 700)) AS md5 FROM (SELECT seq_nr, bases, unnest(range(1, length(bases) + 1, 700)) AS first FROM g)",
     "seed_histogram": "SELECT n, count(*) AS seeds FROM hist GROUP BY n",
     "seed_top": "SELECT seed, n FROM hist ORDER BY n DESC, seed LIMIT 100",
     "seed_chunks": "SELECT seed, chunk_id, nb_nbr, n FROM chunks WHERE n > 500",
@@ -71,6 +75,7 @@ _FINAL = {
     "oriented_reads": "SELECT num, pair_id, type, seq FROM ro",
     "zip_pairs": "SELECT pair_id, seq1, seq2 FROM rp WHERE pair_id % 3 <> 0",
     "pair_hits": "SELECT num, seq_nr, seed_nr, chunk_id, score::INT AS score FROM bp",
+    "index_hits": "SELECT num, seq_nr, seed_nr, chunk_id, score::INT AS score FROM bp",
     "pair_candidates": f"SELECT {_PAIR} FROM pc",
     "best_pairs": f"SELECT {_PAIR}, total, n_tied FROM bb",
     "tie_break": f"SELECT {_PAIR} FROM tb",
@@ -81,7 +86,7 @@ _FINAL = {
     "coverage_lookup": "SELECT chr AS seq_nr, pos, (SELECT count(*) FROM (SELECT start AS s UNION ALL SELECT start + 229) WHERE s <= pos AND pos < s + 120) AS cov FROM tr JOIN rp ON rp.pair_id = chr",
     "snv_calls": "SELECT seq_nr, pos, ref, alt, depth, score FROM sv",
     "variant_filter": "SELECT seq_nr, pos, ref, alt, depth, cov, pct, mean FROM mf",
-    "homopolymer_del": "SELECT seq_nr, count(*) AS n FROM (SELECT seq_nr, bases, unnest(range(12, length(bases))) AS pos FROM g WHERE length(bases) >= 80) WHERE substr(bases, pos - 11, 12) = repeat(substr(bases, pos - 11, 1), 12) GROUP BY seq_nr",
+    "homopolymer_del": "SELECT seq_nr, count(*) AS n FROM (SELECT seq_nr, bases, unnest(range(12, length(bases))) AS pos FROM g) WHERE substr(bases, pos - 11, 12) = repeat(substr(bases, pos - 11, 1), 12) GROUP BY seq_nr",
     "vcf_lines": "SELECT concat_ws(chr(9), seq_nr, pos, '.', ref, alt, '.', '.', 'DEPTH=' || depth || ';COV=' || cov || ';SCORE=' || mean) AS line FROM mf",
     "vcf_eval": "SELECT cls, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN -1 ELSE 100.0 * tp / (tp + fp) END, 6)::DOUBLE AS tp_pct, round(CASE WHEN tp + fn = 0 THEN -1 ELSE 100.0 * tp / (tp + fn) END, 6)::DOUBLE AS cm_pct FROM ev",
     "eval_gate": "SELECT cls, (tp + fp > 0 AND 100.0 * tp / (tp + fp) >= 98) AND (tp + fn > 0 AND 100.0 * tp / (tp + fn) >= 98) AS passed FROM ev",

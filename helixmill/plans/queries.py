@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import evaluate, index, mapping, pairing, simulate, telemetry, variants
+from ..operators import evaluate, index, mapping, pairing, simulate, store, telemetry, variants
+from ..sources import shared
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -45,8 +46,13 @@ def genome_dim(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def genome_access(spark: SparkSession, sf: str) -> DataFrame:
-    g = fx.genome(spark, sf).where(F.length("bases") >= 60)
-    return g.select("seq_nr", F.substring("bases", 41, 20).alias("found"))
+    """Every sequence in windows of 700 symbols, from a stored genome."""
+    path = shared.fresh(spark, "genome")
+    store.write_genome(fx.genome(spark, sf), path)
+    blocks = store.read_genome(spark, path)
+    starts = store.lengths(blocks).select("seq_nr", F.explode(F.sequence(F.lit(1).cast("long"), F.col("seq_len"), F.lit(700).cast("long"))).alias("first"))
+    found = store.bases_at(blocks, starts.withColumn("last", F.col("first") + 699))
+    return found.select("seq_nr", "first", F.md5("found").alias("md5"))
 
 
 @query
@@ -58,13 +64,13 @@ def seed_histogram(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def seed_top(spark: SparkSession, sf: str) -> DataFrame:
     counts = index.histogram(index.positions(fx.genome(spark, sf)))
-    return counts.orderBy(F.desc("n"), "seed").limit(100)
+    return counts.withColumn("seed", store.text_of(F.col("seed"), codec.SEED)).orderBy(F.desc("n"), "seed").limit(100)
 
 
 @query
 def seed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     sizes = index.chunk_sizes(index.histogram(index.positions(fx.genome(spark, sf))))
-    return sizes.where(F.col("n") > codec.CHUNK).select("seed", "chunk_id", "nb_nbr", "n")
+    return sizes.where(F.col("n") > codec.CHUNK).select(store.text_of(F.col("seed"), codec.SEED).alias("seed"), "chunk_id", "nb_nbr", "n")
 
 
 @query
@@ -93,7 +99,7 @@ def best_hits(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def align_score(spark: SparkSession, sf: str) -> DataFrame:
     found = mapping.candidates(mapping.probes(mapping.orient(fx.paired_reads(spark, sf))), fx.genome(spark, sf))
-    return found.select("num", "seq_nr", "seed_nr", mapping.align_score("nbr", "ref_nbr").alias("score"))
+    return found.select("num", "seq_nr", "seed_nr", mapping.word_score(*mapping.READ_WORDS, *index.WORDS).alias("score"))
 
 
 @query
@@ -112,6 +118,15 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return mapping.map_reads(fx.paired_reads(spark, sf), fx.genome(spark, sf), gaps=False)
 
 
+@query
+def index_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """pair_hits by a stored index."""
+    path = shared.fresh(spark, "index")
+    index.write_index(fx.genome(spark, sf), path)
+    found = mapping.map_reads(fx.paired_reads(spark, sf), index.read_index(spark, path), gaps=False)
+    return found.select("num", "seq_nr", "seed_nr", "chunk_id", "score")
+
+
 def _best(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.best_pairs(pairing.pair_candidates(_hits(spark, sf)))
 
@@ -219,9 +234,7 @@ def variant_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def homopolymer_del(spark: SparkSession, sf: str) -> DataFrame:
-    g = fx.genome(spark, sf).where(F.length("bases") >= 80)
-    each = index.blocks(g, 12, F.length("bases") - 1, 12, 0)
-    return each.where(codec.homopolymer(F.col("piece"), 12 + F.col("k"))).groupBy("seq_nr").agg(F.count(F.lit(1)).alias("n"))
+    return index.homopolymers(fx.genome(spark, sf)).groupBy("seq_nr").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

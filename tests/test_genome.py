@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import random
 
-from helixmill.operators import index, simulate, variants
+from helixmill.operators import simulate, store, variants
 
 
 def test_around(spark):
     rng = random.Random(5)
-    bases = {i: "".join(rng.choices("ACTG", k=n)) for i, n in enumerate((1, 63, 64, 65, 300))} | {9: ""}
+    bases = {i: "".join(rng.choices("ACTG", k=n)) for i, n in enumerate((1, 63, 1024, 1025, 2300))} | {9: "", 10: "ACN’漢" * 500}
     genome = spark.createDataFrame(list(bases.items()), "seq_nr long, bases string")
-    points = [(i, p) for i, b in bases.items() for p in range(len(b))]
-    for before, after in ((0, 118), (64, 130), (3, 1)):
-        found = index.around(spark.createDataFrame(points, "seq_nr long, at long"), genome, "at", before, after, "site").collect()
+    points = [(i, p) for i, b in bases.items() for p in (*range(0, len(b), 7), *range(len(b))[-3:], *range(1000, len(b))[:60])]
+    bases[10] = "ACNNN" * 500
+    for before, after in ((0, 118), (64, 130)):
+        found = store.around(spark.createDataFrame(points, "seq_nr long, at long"), genome, "at", before, after, "site").collect()
         assert sorted(map(tuple, found)) == sorted((i, p, bases[i][max(p - before, 0) : p + after]) for i, p in points)
 
 

@@ -104,10 +104,64 @@ def test_index_round_trip(spark, tmp_path):
         sizes[r.seed, r.chunk_id] = sizes.get((r.seed, r.chunk_id), 0) + 1
     assert max(sizes.values()) <= 10
     assert sizes == {(r.seed, r.chunk_id): r.nb_nbr for r in index.chunk_sizes(index.histogram(seeds), size=10).collect()}
-    index.write_index(seeds, str(tmp_path / "i"), parts=4)
-    assert index.read_index(spark, str(tmp_path / "i")).count() == seeds.count()
-    with pytest.raises(Exception):
-        index.write_index(seeds, str(tmp_path / "i"), parts=4)
+    path = str(tmp_path / "i")
+    index.write_index(genome, path, parts=4, size=10)
+    kept = index.read_index(spark, path)
+    want = sorted((r.seed, r.chunk_id, r.seq_nr, r.seed_nr, *(r[w] for w in index.WORDS)) for r in chunked)
+    assert sorted(map(tuple, kept.rows.collect())) == want
+    some = index.read_index(spark, path, part_ids=[0, 2])
+    assert all(f.rsplit("_", 1)[1][:5] in ("00000", "00002") for f in some.rows.inputFiles())
+    assert some.rows.count() + index.read_index(spark, path, part_ids=[1, 3]).rows.count() == len(want)
+    with pytest.raises(FileExistsError):
+        index.write_index(genome, path, parts=4)
+    meta = next(f for f in (tmp_path / "i" / "meta").iterdir() if f.name.startswith("part"))
+    (meta.parent / f".{meta.name}.crc").unlink(missing_ok=True)
+    meta.write_text('{"magic": "x", "version": 1, "seed": 14, "neighbour": 104}')
+    with pytest.raises(ValueError):
+        index.read_index(spark, path)
+
+
+def test_a_stored_index_is_joined_where_it_lies(spark, tmp_path):
+    rng = random.Random(2)
+    bases = "".join(rng.choice("ACTG") for _ in range(3000)) + "A" * 800
+    genome = spark.createDataFrame([(1, bases), (2, bases[500:1500])], "seq_nr long, bases string")
+    pairs = spark.createDataFrame([(i, bases[p : p + 120], bases[p + 200 : p + 320]) for i, p in enumerate((0, 700, 1400, 3100))], "pair_id long, seq1 string, seq2 string")
+    path = str(tmp_path / "i")
+    index.write_index(genome, path, parts=4, size=100)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mapping.candidates(mapping.probes(mapping.orient(pairs)), index.read_index(spark, path))
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        scan = next(i for i, line in enumerate(plan) if "Bucketed: true" in line)
+        side = max(i for i in range(scan) if plan[i].startswith("      +- "))  # the join's second child
+        assert "Join" in plan[2] and not any("Exchange" in line for line in plan[side : scan + 1])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for gaps in (False, True):
+        stored = mapping.map_reads(pairs, index.read_index(spark, path), gaps).drop("chunk_id").distinct()
+        fresh = mapping.best(mapping.scored(mapping.candidates(mapping.probes(mapping.orient(pairs)), index.Index(index.chunked(index.positions(genome), 100), index.common(index.histogram(index.positions(genome)), 100))), gaps)).drop("chunk_id").distinct()
+        assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fresh.collect())) and stored.count() >= 16
+
+
+def test_symbols_that_no_byte_holds(spark):
+    from helixmill.functions import codec
+
+    text = "ACTG" * 20 + "“漢字”" + "ACCA" * 30
+    rows = spark.createDataFrame([(0, text), (1, text.replace("漢", "語")), (2, None)], "k long, t string")
+    encoded = [r.s for r in rows.select("k", codec.encode_text(F.col("t")).alias("s")).orderBy("k").collect()]
+    assert encoded[0] == encoded[1] == "ACTG" * 20 + "NNNN" + "ACCA" * 30 and encoded[2] is None
+    assert kernels.score(["A“" * 52, "CA" * 52], ["AA" * 52, "CN" * 52], 40).tolist() == [0, 0]
+    genome = spark.createDataFrame([(1, encoded[0])], "seq_nr long, bases string")
+    pairs = spark.createDataFrame([(0, encoded[0][:120], codec_reverse(encoded[0][84:]))], "pair_id long, seq1 string, seq2 string")
+    hits = mapping.map_reads(pairs, genome)
+    assert {(r.num, r.seed_nr, r.score) for r in hits.collect()} >= {(0, 0, 0)}
+    placed = spark.createDataFrame([(0, 1, 0, 10, encoded[0][:60] + "C" + encoded[0][61:120])], "num long, seq_nr long, start long, score int, seq string")
+    assert [(r.pos, r.ref, r.alt) for r in variants.call_variants(placed, genome).collect()] == [(61, "A", "C")]
+    assert [(r.pos, r.ref, r.alt) for r in variants.call_substitutions(placed, genome).collect()] == [(61, "A", "C")]
+
+
+def codec_reverse(s):
+    return s.translate(str.maketrans("ACTG", "TGAC"))[::-1]
 
 
 def test_gate(spark):
