@@ -77,6 +77,40 @@ def cut(genome: DataFrame) -> DataFrame:
     return genome.select("seq_nr", "bases").mapInArrow(_rows, SCHEMA).repartition(spread, "seq_nr", "block")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seq_nr, at, bases -> the parts of each line that a block holds, by block."""
+    for batch in batches:
+        rows = []
+        for seq_nr, at, bases in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            raw = bases.encode("latin-1", "replace")
+            for block in range(max(0, (at - AFTER) // BLOCK), (at + len(raw) - 1 + BEFORE) // BLOCK + 1):
+                lo, hi = max(at, block * BLOCK - BEFORE), min(at + len(raw), (block + 1) * BLOCK + AFTER)
+                if hi > lo:
+                    rows.append((seq_nr, block, lo, raw[lo - at : hi - at]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["seq_nr", "block", "at", "piece"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """seq_nr, block, its pieces in order -> blocks; those with overlap alone go."""
+    for batch in batches:
+        rows = []
+        for seq_nr, block, parts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            codes = CODES[np.frombuffer(b"".join(p["piece"] for p in parts), np.uint8)]
+            left, own = block * BLOCK - parts[0]["at"], min(BLOCK, parts[0]["at"] + len(codes) - block * BLOCK)
+            if own > 0:
+                lost = codes == 4
+                rows.append((seq_nr, block, own, left, len(codes) - left - own, pack(codes), np.packbits(lost).tobytes() if lost.any() else None))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], NAMES)
+
+
+def of_lines(lines: DataFrame) -> DataFrame:
+    """The blocks of sequences that come in lines (seq_nr, at, bases), without a row that holds a sequence."""
+    parts = lines.select("seq_nr", "at", "bases").mapInArrow(_pieces, "seq_nr long, block long, at long, piece binary")
+    whole = parts.groupBy("seq_nr", "block").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("parts"))  # a block's symbols
+    return whole.mapInArrow(_joined, SCHEMA)
+
+
 def write_genome(genome: DataFrame, path: str) -> None:
     """A store of the sequences (or blocks) at a new path; what it holds is stated last, so that a broken write is no store."""
     spark = genome.sparkSession

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 
-def log_sums(log: DataFrame, order: list[str]) -> DataFrame:
-    """key, total, mean: sums of values, over the number of changes of the device in order of the log."""
-    along = Window.orderBy(*order)  # one run's log
-    runs = log.withColumn("_new", F.when(F.lag("dpu").over(along).eqNullSafe(F.col("dpu")), 0).otherwise(1)).agg(F.sum("_new").alias("runs"))
+
+def log_sums(log: DataFrame, order: list[str], bucket: Column) -> DataFrame:
+    """key, total, mean: sums of values, over the number of changes of the device in order of the log; `bucket` cuts that order."""
+    marked = scans.along(log.select(*order, "dpu"), bucket, order, lags={"_last": F.struct("dpu")})
+    runs = marked.agg(F.sum(F.when(F.col("_last.dpu").eqNullSafe(F.col("dpu")) & F.col("_last").isNotNull(), 0).otherwise(1)).alias("runs"))
     sums = log.groupBy("key").agg(F.sum("value").alias("total"))
     return sums.join(runs, F.lit(True)).select("key", "total", (F.col("total") / F.col("runs")).alias("mean"))
 
@@ -21,22 +23,30 @@ def per_device(log: DataFrame, order: list[str], last: tuple[str, ...] = ("TIME"
 
 
 def per_rank(devices: DataFrame, how: str) -> DataFrame:
-    """rank, key, value: MOY the whole average over the rank's devices, MAX the largest."""
+    """rank, key, value: MOY the whole average over the rank's devices, MAX the largest; ALL keeps each device, with dpu."""
+    if how == "ALL":
+        return devices.select("rank", "dpu", "key", "value")
     value = F.floor(F.sum("value") / F.count(F.lit(1))).cast("long") if how == "MOY" else F.max("value")
     return devices.groupBy("rank", "key").agg(value.alias("value"))
 
 
-def running_mean(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
-    along = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("mean", F.avg(value).over(along))
+def write_csv(rows: DataFrame, keys: tuple[str, ...], names: list[str], path: str) -> None:
+    """Logs as CSV: a line for each rank (and device), a column for each of the named keys, in order of the lines."""
+    wide = rows.groupBy(*keys).agg(*[F.max(F.when(F.col("key") == n, F.col("value"))).alias(n) for n in names])
+    wide.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("header", True).mode("errorifexists").csv(path)
+
+
+def running_mean(rows: DataFrame, by: str, order: list[str], value: str, bucket: Column) -> DataFrame:
+    out = scans.along(rows, bucket, order, keys=(by,), sums={"_sum": F.col(value), "_n": F.col(value).isNotNull().cast("long")})
+    return out.withColumn("mean", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_sum", "_n")
 
 
-def islands(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+def islands(rows: DataFrame, by: str, order: list[str], value: str, bucket: Column) -> DataFrame:
     """by, island, value, n: runs of equal values within each group."""
-    along = Window.partitionBy(by).orderBy(*order)
-    new = F.when(F.lag(value).over(along).eqNullSafe(F.col(value)), 0).otherwise(1)
-    marked = rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(by, "island").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("n"))
+    marked = scans.along(rows.select(by, *order, value).withColumn("_near", bucket), F.col("_near"), order, keys=(by,), lags={"_last": F.struct(value)})
+    new = F.when(F.col("_last").isNotNull() & F.col("_last")[value].eqNullSafe(F.col(value)), 0).otherwise(1)
+    numbered = scans.along(marked.withColumn("_new", new), F.col("_near"), order, keys=(by,), sums={"island": F.col("_new")})
+    return numbered.groupBy(by, "island").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("n"))
 
 
 def spans(samples: DataFrame, keys: list[str], t: str) -> DataFrame:

@@ -99,6 +99,7 @@ _FINAL = {
     "log_devices": "SELECT * FROM dv",
     "log_rank_avg": "SELECT rank, key, floor(sum(value) / count(*))::BIGINT AS value FROM dv GROUP BY rank, key",
     "log_rank_max": "SELECT rank, key, max(value) AS value FROM dv GROUP BY rank, key",
+    "log_rank_all": "SELECT rank, dpu, key, value FROM dv",
     "running_mean": "SELECT line_no, round(avg(value) OVER (PARTITION BY dpu ORDER BY ts, line_no ROWS UNBOUNDED PRECEDING), 9) AS mean FROM lg",
     "islands": "SELECT dpu, island, key, count(*) AS n FROM (SELECT dpu, key, (sum(new) OVER (PARTITION BY dpu ORDER BY ts, line_no))::BIGINT AS island FROM (SELECT *, CASE WHEN lag(key) OVER (PARTITION BY dpu ORDER BY ts, line_no) IS NOT DISTINCT FROM key THEN 0 ELSE 1 END AS new FROM lg)) GROUP BY ALL",
     "stage_spans": "SELECT * FROM sp",

@@ -290,9 +290,14 @@ def best_filter(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.tune(_counts(spark, sf), [1.0, 2.0, 3.0])
 
 
+def _hour():
+    """A stretch of the log's order."""
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+
+
 @query
 def log_sum(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.log_sums(fx.log(spark, sf), ["ts", "line_no"]).select("key", "total", F.round("mean", 9).alias("mean"))
+    return telemetry.log_sums(fx.log(spark, sf), ["ts", "line_no"], _hour()).select("key", "total", F.round("mean", 9).alias("mean"))
 
 
 @query
@@ -310,14 +315,19 @@ def log_rank_max(spark: SparkSession, sf: str) -> DataFrame:
     return telemetry.per_rank(telemetry.per_device(fx.log(spark, sf), ["ts", "line_no"], last=("click",)), "MAX")
 
 
+@query
+def log_rank_all(spark: SparkSession, sf: str) -> DataFrame:
+    return telemetry.per_rank(telemetry.per_device(fx.log(spark, sf), ["ts", "line_no"], last=("click",)), "ALL")
+
+
 @query
 def running_mean(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.running_mean(fx.log(spark, sf), "dpu", ["ts", "line_no"], "value").select("line_no", F.round("mean", 9).alias("mean"))
+    return telemetry.running_mean(fx.log(spark, sf), "dpu", ["ts", "line_no"], "value", _hour()).select("line_no", F.round("mean", 9).alias("mean"))
 
 
 @query
 def islands(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.islands(fx.log(spark, sf), "dpu", ["ts", "line_no"], "key")
+    return telemetry.islands(fx.log(spark, sf), "dpu", ["ts", "line_no"], "key", _hour())
 
 
 @query
