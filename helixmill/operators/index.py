@@ -121,7 +121,7 @@ class Index:
 
 def used(genome: DataFrame, seeds: DataFrame, size: int = CHUNK) -> Index:
     """The index of those seeds of a genome that are asked for, for one batch of reads."""
-    here = positions(genome).join(seeds.select("seed").distinct(), "seed", "left_semi")
+    here = shared.kept(positions(genome).join(seeds.select("seed").distinct(), "seed", "left_semi"))
     return Index(chunked(here, size).select("seed", "chunk_id", "seq_nr", "seed_nr", *WORDS), common(histogram(here), size))
 
 

@@ -95,45 +95,66 @@ def score_codes(x: np.ndarray, y: np.ndarray, most: int = 40) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def trace(genome: str, read: str) -> list[tuple[str, int, int]]:
-    """Steps that are not matches, in order: (SUB, INS or DEL, genome index, read index)."""
-    n = len(read)
-    d, p, q = [[[NONE] * (n + REACH + 2) for _ in range(n + 1)] for _ in range(3)]
-    step = [[0] * (n + REACH + 2) for _ in range(n + 1)]
-    for k in range(REACH + 1):
-        d[0][k] = d[k][0] = SUB * k
+#: Codes by byte for comparing symbols: unknown is a symbol of its own.
+SYMBOL_CODES = np.full(256, 4, np.uint8)
+SYMBOL_CODES[[ord(c) for c in "ACTG"]] = range(4)
+
+
+def directions(g: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of rows of genome and read codes by (row, genome index, band): 0 match, 1 SUB, 2 INS, 3 DEL; and where each row's path ends."""
+    count, n = g.shape
+    span = n + REACH + 2
+    none = lambda: np.full((span, count), NONE, np.int32)
+    step = np.zeros((n + 1, 2 * REACH + 1, count), np.uint8)
+    above, above_q = none(), none()
+    above[: REACH + 1] = SUB * np.arange(REACH + 1)[:, None]
+    last = np.full((n + 1, count), NONE, np.int32)  # the column of the read's end
     for i in range(1, n + 1):
+        here, here_q, p = none(), none(), np.full(count, NONE, np.int32)
+        if i <= REACH:
+            here[0] = SUB * i
         for j in range(max(1, i - REACH), min(n, i + REACH) + 1):
-            p[i][j] = min(d[i][j - 1] + OPEN, p[i][j - 1] + EXTEND)
-            q[i][j] = min(d[i - 1][j] + OPEN, q[i - 1][j] + EXTEND)
-            differ = genome[i - 1] != read[j - 1]
-            diagonal, gap = d[i - 1][j - 1] + SUB * differ, min(p[i][j], q[i][j])
-            d[i][j] = min(diagonal, gap)
-            step[i][j] = int(differ) if diagonal < gap else 2 if p[i][j] < q[i][j] else 3
+            p = np.minimum(here[j - 1] + OPEN, p + EXTEND)
+            q = here_q[j] = np.minimum(above[j] + OPEN, above_q[j] + EXTEND)
+            differ = g[:, i - 1] != r[:, j - 1]
+            diagonal, gap = above[j - 1] + SUB * differ, np.minimum(p, q)
+            here[j] = np.minimum(diagonal, gap)
+            step[i, j - i + REACH] = np.where(diagonal < gap, differ, np.where(p < q, 2, 3))
+        last[i] = here[n]
+        above, above_q = here, here_q
     ends = [(i, n) for i in range(n - REACH, n + 1)] + [(n, j) for j in range(n - REACH, n + 1)]
-    i, j = 0, 0
-    least = NONE
-    for end in ends:
-        if d[end[0]][end[1]] < least:
-            least, (i, j) = d[end[0]][end[1]], end
-    out = []
-    while i > 0 and j > 0:
-        s = step[i][j]
-        i, j = i - (s != 2), j - (s != 3)
-        if s:
-            out.append((("SUB", "INS", "DEL")[s - 1], i, j))
-    return out[::-1]
-
-
-def edits(genome: str, read: str, score: int, seed: int = 14) -> list[tuple[str, int, int, str]]:
-    """Edits of a read against the genome from its start: (kind, genome index, read index, bases). Substitutions alone where they explain the score."""
-    if score == 0:
-        return []
-    plain = [("SUB", k, k, read[k]) for k in range(seed, len(read)) if genome[k] != read[k]]
-    if SUB * len(plain) == score:
-        return plain
+    cost = np.stack([last[i] if j == n else above[j] for i, j in ends])
+    best = np.argmin(cost, 0)  # the first of the least
+    at = np.array(ends)[best]
+    nowhere = cost.min(0) >= NONE
+    return step, np.where(nowhere, 0, at[:, 0]), np.where(nowhere, 0, at[:, 1])
+
+
+def traces(g: np.ndarray, r: np.ndarray) -> list[list[tuple[str, int, int]]]:
+    """Steps of each row that are not matches, in order: (SUB, INS or DEL, genome index, read index). All rows are walked at once."""
+    step, i, j = directions(g, r)
+    rows, out = np.arange(len(g)), [[] for _ in range(len(g))]
+    while len(rows := rows[(i[rows] > 0) & (j[rows] > 0)]):
+        band = j[rows] - i[rows] + REACH  # paths of hopeless pairs may leave it, and go straight there
+        s = np.where((band >= 0) & (band <= 2 * REACH), step[i[rows], np.clip(band, 0, 2 * REACH), rows], 0)
+        i[rows] -= s != 2
+        j[rows] -= s != 3
+        for k in np.flatnonzero(s):
+            row = rows[k]
+            out[row].append((("SUB", "INS", "DEL")[s[k] - 1], int(i[row]), int(j[row])))
+    return [steps[::-1] for steps in out]
+
+
+def trace(genome: str, read: str) -> list[tuple[str, int, int]]:
+    """The steps of one pair of equal length."""
+    g, r = (SYMBOL_CODES[np.frombuffer(x.encode("latin-1", "replace"), np.uint8)][None] for x in (genome, read))
+    return traces(g, r)[0]
+
+
+def joined(steps: list[tuple[str, int, int]], genome: str, read: str) -> list[tuple[str, int, int, str]]:
+    """Steps as edits (kind, genome index, read index, bases): those of one gap are one."""
     out: list[tuple[str, int, int, str]] = []
-    for kind, i, j in trace(genome[: len(read)], read):
+    for kind, i, j in steps:
         if kind == "SUB":
             out.append((kind, i, j, read[j]))
         elif out and out[-1][0] == kind == "INS" and out[-1][1] == i:
@@ -145,10 +166,10 @@ def edits(genome: str, read: str, score: int, seed: int = 14) -> list[tuple[str,
     return out
 
 
-def variants(genome: str, start: int, read: str, score: int) -> list[tuple[int, str, str]]:
-    """(0-based position, ref, alt) of a read mapped at `start`, left-normalised; an allele over 6 symbols ends the list."""
+def alleles(found: list[tuple[str, int, int, str]], genome: str, start: int) -> list[tuple[int, str, str]]:
+    """Edits from `start` on as (0-based position, ref, alt), left-normalised; an allele over 6 symbols ends the list."""
     out = []
-    for kind, i, _, bases in edits(genome[start : start + len(read) + REACH], read, score):
+    for kind, i, _, bases in found:
         at = start + i
         if kind == "SUB":
             out.append((at, genome[at], bases))
@@ -162,3 +183,32 @@ def variants(genome: str, start: int, read: str, score: int) -> list[tuple[int,
             break
         out.append((at, genome[at], genome[at] + bases) if kind == "INS" else (at, genome[at] + bases, genome[at]))
     return out
+
+
+def variants_of(windows: list[str], starts: list[int], reads: list[str], scores: list[int], seed: int = 14) -> list[list[tuple[int, str, str]]]:
+    """The variants of reads mapped at `starts` of their windows, which go on for the read's length at least. Substitutions alone where they explain the score, else a traceback of all such reads of a length at once."""
+    out: list[list] = [[] for _ in reads]
+    for size in sorted({len(r) for r in reads}):
+        own = [k for k, r in enumerate(reads) if len(r) == size and scores[k] != 0 and size > REACH]
+        if not own:
+            continue
+        places = [windows[k][starts[k] : starts[k] + size] for k in own]
+        g, r = (SYMBOL_CODES[np.frombuffer("".join(x).encode("latin-1", "replace"), np.uint8)].reshape(len(own), size) for x in (places, [reads[k] for k in own]))
+        differ = g != r
+        differ[:, :seed] = False
+        plain = SUB * differ.sum(1) == np.array([scores[k] for k in own])
+        for n in np.flatnonzero(plain):
+            k = own[n]
+            out[k] = [(starts[k] + int(i), windows[k][starts[k] + int(i)], reads[k][int(i)]) for i in np.flatnonzero(differ[n])]
+        gapped_ = np.flatnonzero(~plain)
+        for lo in range(0, len(gapped_), 4096):  # a row's steps take 2 KB
+            some = gapped_[lo : lo + 4096]
+            for n, steps in zip(some, traces(g[some], r[some]), strict=True):
+                k = own[n]
+                out[k] = alleles(joined(steps, places[n], reads[k]), windows[k], starts[k])
+    return out
+
+
+def variants(genome: str, start: int, read: str, score: int) -> list[tuple[int, str, str]]:
+    """The variants of one read mapped at `start`."""
+    return variants_of([genome.ljust(start + len(read), "N")], [start], [read], [score])[0]

@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from ..functions.codec import MAX_SCORE, SUBSTITUTION, neighbour_words, reverse_complement, seed_code, word_mismatches
+from ..sources import shared
 from . import index, kernels
 
 
@@ -71,8 +72,8 @@ def best(hits: DataFrame, key: str = "num") -> DataFrame:
 
 
 def map_reads(pairs: DataFrame, target: DataFrame | index.Index, gaps: bool = True) -> DataFrame:
-    """num, seq_nr, seed_nr, chunk_id, score: best hits of all orientations of all pairs, in a genome (sequences or blocks) or by an index, stored or not."""
-    return best(scored(candidates(probes(orient(pairs)), target), gaps))
+    """num, seq_nr, seed_nr, chunk_id, score: best hits of all orientations of all pairs, in a genome (sequences or blocks) or by an index, stored or not. They are written once, since pairing reads them several times."""
+    return shared.kept(best(scored(candidates(probes(orient(pairs)), target), gaps)))
 
 
 def register(spark) -> None:

@@ -64,6 +64,56 @@ def test_traced_variants(size):
     assert not more and g[:at] + alt + g[at + len(ref) :] == g[:160] + extra + g[160:]
 
 
+def plain_trace(genome, read):
+    n, inf, reach = len(read), kernels.NONE, kernels.REACH
+    d = {(0, k): 10 * k for k in range(reach + 1)} | {(k, 0): 10 * k for k in range(reach + 1)}
+    p, q, step = {}, {}, {}
+    for i in range(1, n + 1):
+        for j in range(max(1, i - reach), min(n, i + reach) + 1):
+            p[i, j] = min(d.get((i, j - 1), inf) + 11, p.get((i, j - 1), inf) + 1)
+            q[i, j] = min(d.get((i - 1, j), inf) + 11, q.get((i - 1, j), inf) + 1)
+            differ = genome[i - 1] != read[j - 1]
+            diagonal, gap = d.get((i - 1, j - 1), inf) + 10 * differ, min(p[i, j], q[i, j])
+            d[i, j] = min(diagonal, gap)
+            step[i, j] = int(differ) if diagonal < gap else 2 if p[i, j] < q[i, j] else 3
+    ends = [(i, n) for i in range(n - reach, n + 1)] + [(n, j) for j in range(n - reach, n + 1)]
+    i, j = min(ends, key=lambda e: d[e])
+    i, j = (i, j) if d[i, j] < inf else (0, 0)
+    out = []
+    while i > 0 and j > 0:
+        s = step.get((i, j), 0)
+        i, j = i - (s != 2), j - (s != 3)
+        if s:
+            out.append((("SUB", "INS", "DEL")[s - 1], i, j))
+    return out[::-1]
+
+
+def test_batches_are_traced_like_single_pairs():
+    rng = random.Random(8)
+    pairs = [(a[:60], b[:60]) for a, b in (pair(rng, k % 7) for k in range(70))] + [("ACNN" * 15, "ACTN" * 15), ("A" * 60, "T" * 60)]
+    codes = [kernels.SYMBOL_CODES[[[ord(c) for c in x[k]] for x in pairs]] for k in (0, 1)]
+    assert kernels.traces(*codes) == [plain_trace(a, b) for a, b in pairs]
+    windows = [a + "ACTGACTG" for a, _ in pairs]
+    whole = kernels.variants_of(windows, [0] * len(pairs), [b for _, b in pairs], [20] * len(pairs))
+    assert whole == [kernels.variants(w, 0, b, 20) for w, (_, b) in zip(windows, pairs)]
+    assert kernels.variants_of([], [], [], []) == []
+
+
+def test_calls_in_sql(spark):
+    rng = random.Random(5)
+    bases = "".join(rng.choice("ACTG") for _ in range(600))
+    genome = spark.createDataFrame([(1, bases)], "seq_nr long, bases string")
+    reads = [(k, 1, s, 11 + k % 3, bases[s : s + 50] + bases[s + 51 + k % 3 : s + 121 + k % 3]) for k, s in enumerate(range(0, 400, 40))]
+    placed = spark.createDataFrame(reads, "num long, seq_nr long, start long, score int, seq string")
+    variants.register(spark)
+    variants.windows(placed, genome).createOrReplaceTempView("placed_windows")
+    got = spark.sql("SELECT seq_nr, pos, ref, alt, score FROM align_variants(TABLE(SELECT * FROM placed_windows)) ORDER BY ALL").collect()
+    want = sorted(map(tuple, variants.call_variants(placed, genome).collect()))
+    assert len(want) >= 10 and [tuple(r) for r in got] == want
+    for _, pos, ref, alt, score in want:
+        assert bases[pos - 1 : pos - 1 + len(ref)] == ref and len(ref) - len(alt) == score - 10
+
+
 def test_planted_variants_are_called(spark):
     rng = random.Random(9)
     bases = "".join(rng.choice("ACTG") for _ in range(6000))
