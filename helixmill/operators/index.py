@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def dimensions(genome: DataFrame, spread: int = 4096) -> DataFrame:
     return sized.withColumn("_inside", inside).join(before, "_group").select("seq_nr", "seq_len", (F.col("_before") + F.col("_inside")).alias("pt_seq"))
 
 
-def _seeds(seq_nr: int, first: int, left: int, size: int, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+def _seeds(seq_nr: int, first: int, left: int, size: int, codes: np.ndarray, neighbours: bool = True) -> tuple[np.ndarray, ...]:
     """The rows of a block: seeds and neighbours are rolled up by doubling, the first symbol in the highest bits."""
     n = max(0, min(size, len(codes) - left - SEED - NEIGHBOUR + 1))
     known = np.concatenate([[0], np.cumsum(codes == 4)])
@@ -38,10 +40,36 @@ def _seeds(seq_nr: int, first: int, left: int, size: int, codes: np.ndarray) ->
     for k in (1, 2, 4, 8):
         r[2 * k] = (r[k][:-k] << (2 * k)) | r[k][k:]
     seed = (r[8][at] << 12) | (r[4][at + 8] << 4) | r[2][at + 12]
-    words = [(r[16][p] << 20) | (r[8][p + 16] << 4) | r[2][p + 24] for p in (at + SEED + k for k in range(0, NEIGHBOUR, WORD))]
+    words = [(r[16][p] << 20) | (r[8][p + 16] << 4) | r[2][p + 24] for p in (at + SEED + k for k in range(0, NEIGHBOUR if neighbours else 0, WORD))]
     return (np.full(len(at), seq_nr, np.int64), first + (at - left).astype(np.int64), seed.astype(np.int32), *words)
 
 
+def counts(genome: DataFrame) -> DataFrame:
+    """seed, n: the histogram of a genome's positions, added up in each task first; neighbours are not made."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        made = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], ["seed", "n"])
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            k, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return k, np.bincount(back, np.concatenate([h[1] for h in held]), len(k)).astype(np.int64)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(len(store.NAMES))]
+            for lo in range(0, batch.num_rows, 512):
+                seeds = [_seeds(q, b * store.BLOCK, left, size, store.unpack(c, left + size + right, u), False)[2] for q, b, size, left, right, c, u in zip(*(x[lo : lo + 512] for x in columns), strict=True)]
+                held.append(np.unique(np.concatenate(seeds), return_counts=True))
+                if sum(len(h[0]) for h in held) > 1 << 21:
+                    held[:] = [summed()]
+                    if len(held[0][0]) > 1 << 20:
+                        yield made(*held.pop())
+        if held:
+            yield made(*summed())
+
+    return store.cut(genome).mapInArrow(add, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n"))
+
+
 WORDS = [f"w{k}" for k in range(NEIGHBOUR // WORD)]
 
 

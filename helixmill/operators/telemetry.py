@@ -41,11 +41,16 @@ def running_mean(rows: DataFrame, by: str, order: list[str], value: str, bucket:
     return out.withColumn("mean", F.when(F.col("_n") > 0, F.col("_sum") / F.col("_n"))).drop("_sum", "_n")
 
 
-def islands(rows: DataFrame, by: str, order: list[str], value: str, bucket: Column) -> DataFrame:
-    """by, island, value, n: runs of equal values within each group."""
-    marked = scans.along(rows.select(by, *order, value).withColumn("_near", bucket), F.col("_near"), order, keys=(by,), lags={"_last": F.struct(value)})
-    new = F.when(F.col("_last").isNotNull() & F.col("_last")[value].eqNullSafe(F.col(value)), 0).otherwise(1)
-    numbered = scans.along(marked.withColumn("_new", new), F.col("_near"), order, keys=(by,), sums={"island": F.col("_new")})
+def islands(rows: DataFrame, by: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """by, island, value, n: runs of equal values within each group. With a bucket, a group's rows are scanned in pieces; without one, a group is one task's."""
+    if bucket is None:
+        along = Window.partitionBy(by).orderBy(*order)
+        new = F.when(F.lag(value).over(along).eqNullSafe(F.col(value)), 0).otherwise(1)
+        numbered = rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        marked = scans.along(rows.select(by, *order, value).withColumn("_near", bucket), F.col("_near"), order, keys=(by,), lags={"_last": F.struct(value)})
+        new = F.when(F.col("_last").isNotNull() & F.col("_last")[value].eqNullSafe(F.col(value)), 0).otherwise(1)
+        numbered = scans.along(marked.withColumn("_new", new), F.col("_near"), order, keys=(by,), sums={"island": F.col("_new")})
     return numbered.groupBy(by, "island").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("n"))
 
 

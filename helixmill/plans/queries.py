@@ -57,30 +57,30 @@ def genome_access(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def seed_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    counts = index.histogram(index.positions(fx.genome(spark, sf)))
+    counts = index.counts(fx.genome(spark, sf))
     return counts.groupBy("n").agg(F.count(F.lit(1)).alias("seeds"))
 
 
 @query
 def seed_top(spark: SparkSession, sf: str) -> DataFrame:
-    counts = index.histogram(index.positions(fx.genome(spark, sf)))
+    counts = index.counts(fx.genome(spark, sf))
     return counts.withColumn("seed", store.text_of(F.col("seed"), codec.SEED)).orderBy(F.desc("n"), "seed").limit(100)
 
 
 @query
 def seed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = index.chunk_sizes(index.histogram(index.positions(fx.genome(spark, sf))))
+    sizes = index.chunk_sizes(index.counts(fx.genome(spark, sf)))
     return sizes.where(F.col("n") > codec.CHUNK).select(store.text_of(F.col("seed"), codec.SEED).alias("seed"), "chunk_id", "nb_nbr", "n")
 
 
 @query
 def partition_balance(spark: SparkSession, sf: str) -> DataFrame:
-    return index.loads(index.chunk_sizes(index.histogram(index.positions(fx.genome(spark, sf)))), 128)
+    return index.loads(index.chunk_sizes(index.counts(fx.genome(spark, sf))), 128)
 
 
 @query
 def partition_lpt(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = index.chunk_sizes(index.histogram(index.positions(fx.genome(spark, sf))))
+    chunks = index.chunk_sizes(index.counts(fx.genome(spark, sf)))
     return index.balanced(chunks, 128)
 
 
@@ -327,7 +327,7 @@ def running_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def islands(spark: SparkSession, sf: str) -> DataFrame:
-    return telemetry.islands(fx.log(spark, sf), "dpu", ["ts", "line_no"], "key", _hour())
+    return telemetry.islands(fx.log(spark, sf), "dpu", ["ts", "line_no"], "key")
 
 
 @query
