@@ -165,11 +165,12 @@ def _table(path: str) -> str:
     return f"helixmill_index_{hashlib.md5(path.encode()).hexdigest()[:16]}"
 
 
-def write_index(genome: DataFrame, path: str, parts: int = 128, size: int = CHUNK) -> None:
-    """The index of a genome at a new path: Parquet, bucketed and sorted by seed and chunk, so that reads are joined without moving it."""
+def write_index(genome: DataFrame, path: str, parts: int | None = None, size: int = CHUNK) -> None:
+    """The index of a genome at a new path: Parquet, bucketed (as many buckets as the session has shuffle partitions, unless `parts` says else) and sorted by seed and chunk, so that reads are joined without moving it."""
     spark = genome.sparkSession
     if shared.exists(spark, path):
         raise FileExistsError(path)
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     seeds = positions(genome)
     rows = chunked(seeds, size).select("seed", "chunk_id", "seq_nr", "seed_nr", *WORDS)
     placed = rows.repartition(parts, "seed", "chunk_id").sortWithinPartitions("seed", "chunk_id")

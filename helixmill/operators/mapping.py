@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
-from ..functions.codec import MAX_SCORE, SUBSTITUTION, neighbour_words, reverse_complement, seed_code, word_mismatches
+from ..functions.codec import MAX_SCORE, NEIGHBOUR, SEED, SUBSTITUTION, WORD, neighbour_words, reverse_complement, seed_code, word_mismatches
 from ..sources import shared
-from . import index, kernels
+from . import index, kernels, pairing
 
 
 @pandas_udf(IntegerType())
@@ -23,9 +23,10 @@ def align_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
         yield pd.Series(kernels.score(a.tolist(), b.tolist(), MAX_SCORE))
 
 
-def orient(pairs: DataFrame) -> DataFrame:
-    """num (4 pair_id + type), pair_id, type, seq: both mates and their reverse complements."""
-    forms = F.array(F.col("seq1"), reverse_complement(F.col("seq1")), F.col("seq2"), reverse_complement(F.col("seq2")))
+def orient(pairs: DataFrame, padded: int = 0) -> DataFrame:
+    """num (4 pair_id + type), pair_id, type, seq: both mates and their reverse complements; symbols that pad a read's end pad that of its complement."""
+    turned = lambda c: F.concat(reverse_complement(F.substring(F.col(c), F.lit(1), F.length(c) - padded)), F.lit("A" * padded)) if padded else reverse_complement(F.col(c))
+    forms = F.array(F.col("seq1"), turned("seq1"), F.col("seq2"), turned("seq2"))
     four = pairs.select("pair_id", F.posexplode(forms).alias("type", "seq"))
     return four.select((4 * F.col("pair_id") + F.col("type")).alias("num"), "pair_id", "type", "seq")
 
@@ -33,14 +34,26 @@ def orient(pairs: DataFrame) -> DataFrame:
 READ_WORDS = [f"r{k}" for k in range(len(index.WORDS))]
 
 
-@pandas_udf(IntegerType())
-def word_score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """align_score of neighbours as words: those of the read, then those of the reference."""
-    for columns in batches:
-        words = np.stack([c.to_numpy() for c in columns], 1)
-        half = words.shape[1] // 2
-        out = kernels.score_codes(kernels.word_codes(words[:, :half]), kernels.word_codes(words[:, half:]), MAX_SCORE) if len(words) else np.zeros(0, np.int32)
-        yield pd.Series(out.astype(np.int32))
+def scorer(length: int = NEIGHBOUR):
+    """align_score of the first `length` symbols of neighbours as words: those of the read, then those of the reference."""
+
+    @pandas_udf(IntegerType())
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            words = np.stack([c.to_numpy() for c in columns], 1)
+            half = words.shape[1] // 2
+            out = kernels.score_codes(kernels.word_codes(words[:, :half])[:, :length], kernels.word_codes(words[:, half:])[:, :length], MAX_SCORE) if len(words) else np.zeros(0, np.int32)
+            yield pd.Series(out.astype(np.int32))
+
+    return score
+
+
+word_score = scorer()
+
+
+def compared(turn: int) -> int:
+    """Symbols of a neighbour that round `turn` compares: whole bytes of four that no earlier round has cut off."""
+    return NEIGHBOUR - 4 * (SEED * turn // 4)
 
 
 def probes(reads: DataFrame, key: str = "num") -> DataFrame:
@@ -59,10 +72,15 @@ def candidates(probe: DataFrame, target: DataFrame | index.Index, key: str = "nu
     return asked.join(found.rows, ["seed", "chunk_id"]).select(key, "seq_nr", "seed_nr", "chunk_id", *READ_WORDS, *index.WORDS)
 
 
-def scored(found: DataFrame, gaps: bool = True) -> DataFrame:
-    """Candidates with a score of 40 at most, of substitutions alone or with gaps."""
+def scored(found: DataFrame, gaps: bool = True, turn: int = 0) -> DataFrame:
+    """Candidates with a score of 40 at most, of substitutions alone or with gaps, in the symbols that a round compares."""
+    n = compared(turn)
     own, other = [F.col(c) for c in READ_WORDS], [F.col(c) for c in index.WORDS]
-    score = word_score(*own, *other) if gaps else (SUBSTITUTION * word_mismatches(own, other)).cast("int")
+    if gaps:
+        score = (scorer(n) if turn else word_score)(*own, *other)
+    else:
+        keep = [((1 << 2 * WORD) - 1) & ~((1 << 2 * max(0, min(WORD, WORD * (k + 1) - n))) - 1) for k in range(len(own))]  # the first n symbols, in the high bits
+        score = (SUBSTITUTION * word_mismatches(*[[c.bitwiseAND(F.lit(m)) for c, m in zip(side, keep, strict=True)] for side in (own, other)])).cast("int")
     return found.withColumn("score", score).where(F.col("score") <= MAX_SCORE).drop(*READ_WORDS, *index.WORDS)
 
 
@@ -71,9 +89,26 @@ def best(hits: DataFrame, key: str = "num") -> DataFrame:
     return hits.withColumn("_r", F.rank().over(Window.partitionBy(key, "chunk_id").orderBy("score"))).where("_r = 1").drop("_r")
 
 
-def map_reads(pairs: DataFrame, target: DataFrame | index.Index, gaps: bool = True) -> DataFrame:
-    """num, seq_nr, seed_nr, chunk_id, score: best hits of all orientations of all pairs, in a genome (sequences or blocks) or by an index, stored or not. They are written once, since pairing reads them several times."""
-    return shared.kept(best(scored(candidates(probes(orient(pairs)), target), gaps)))
+def map_reads(pairs: DataFrame, target: DataFrame | index.Index, gaps: bool = True, turn: int = 0, seen: Observation | None = None) -> DataFrame:
+    """num, seq_nr, seed_nr, chunk_id, score: best hits of all orientations of all pairs, in a genome (sequences or blocks) or by an index, stored or not. They are written once, since pairing reads them several times; `seen` observes their number as they are."""
+    hits = best(scored(candidates(probes(orient(pairs, SEED * turn)), target), gaps, turn))
+    return shared.kept(hits.observe(seen, F.count(F.lit(1)).alias("hits")) if seen else hits)
+
+
+def rounds(pairs: DataFrame, target: DataFrame | index.Index, n: int = 2, gaps: bool = True) -> DataFrame:
+    """The best hits of up to `n` rounds, with their round: pairs that have hits but no valid pair move on by a seed, so that an error in a read's seed costs a round and not the read.
+
+    Each round's pairs and hits are tables, so that no round computes those before again.
+    """
+    out = None
+    for turn in range(n):
+        hits = map_reads(pairs, target, gaps, turn)
+        marked = hits.withColumn("round", F.lit(turn))
+        out = marked if out is None else out.unionByName(marked)
+        if turn + 1 < n:
+            left = pairing.unmapped_fasta(pairs, pairing.unmapped(hits, pairing.paired(hits)), turn)
+            pairs = shared.kept(left.groupBy("pair_id").agg(*[F.max(F.when(F.col("mate") == i, F.col("seq"))).alias(f"seq{i}") for i in (1, 2)]))
+    return out
 
 
 def register(spark) -> None:

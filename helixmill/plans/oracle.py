@@ -85,6 +85,7 @@ _FINAL = {
     "coverage_rle": "SELECT seq_nr, x AS start, stop AS \"end\", cov::BIGINT AS cov FROM (SELECT seq_nr, x, lead(x) OVER w AS stop, sum(d) OVER w AS cov FROM (SELECT seq_nr, x, sum(d) AS d FROM (SELECT seq_nr, pos AS x, 1 AS d FROM st UNION ALL SELECT seq_nr, pos + 120, -1 FROM st) GROUP BY seq_nr, x HAVING sum(d) <> 0) WINDOW w AS (PARTITION BY seq_nr ORDER BY x)) WHERE cov > 0",
     "coverage_lookup": "SELECT chr AS seq_nr, pos, (SELECT count(*) FROM (SELECT start AS s UNION ALL SELECT start + 229) WHERE s <= pos AND pos < s + 120) AS cov FROM tr JOIN rp ON rp.pair_id = chr",
     "snv_calls": "SELECT seq_nr, pos, ref, alt, depth, score FROM sv",
+    "reads_to_vcf": "SELECT concat_ws(chr(9), seq_nr, pos, '.', ref, alt, '.', '.', 'DEPTH=' || depth || ';COV=' || (SELECT count(*) FROM st WHERE st.seq_nr = sv.seq_nr AND st.pos <= sv.pos AND sv.pos < st.pos + 120) || ';SCORE=' || score // depth) AS line FROM sv",
     "variant_filter": "SELECT seq_nr, pos, ref, alt, depth, cov, pct, mean FROM mf",
     "homopolymer_del": "SELECT seq_nr, count(*) AS n FROM (SELECT seq_nr, bases, unnest(range(12, length(bases))) AS pos FROM g) WHERE substr(bases, pos - 11, 12) = repeat(substr(bases, pos - 11, 1), 12) GROUP BY seq_nr",
     "vcf_lines": "SELECT concat_ws(chr(9), seq_nr, pos, '.', ref, alt, '.', '.', 'DEPTH=' || depth || ';COV=' || cov || ';SCORE=' || mean) AS line FROM mf",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import evaluate, index, mapping, pairing, simulate, store, telemetry, variants
+from ..operators import evaluate, index, mapping, pairing, run, simulate, store, telemetry, variants
 from ..sources import shared
 from . import fixtures as fx
 
@@ -157,20 +157,20 @@ def tie_break(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def unmapped_pairs(spark: SparkSession, sf: str) -> DataFrame:
     hits = _hits(spark, sf)
-    return pairing.unmapped(hits, pairing.pair_candidates(hits, same_sequence=True).where("score1 = 0 AND score2 = 0"))
+    return pairing.unmapped(hits, pairing.paired(hits.where("score = 0"), same_sequence=True))
 
 
 @query
 def mapping_rate(spark: SparkSession, sf: str) -> DataFrame:
     hits = _hits(spark, sf)
-    return pairing.mapping_rate(fx.paired_reads(spark, sf), hits, pairing.pair_candidates(hits))
+    return pairing.mapping_rate(fx.paired_reads(spark, sf), hits, pairing.paired(hits))
 
 
 @query
 def unmapped_fasta(spark: SparkSession, sf: str) -> DataFrame:
     pairs = fx.paired_reads(spark, sf)
     hits = mapping.map_reads(pairs, fx.genome(spark, sf), gaps=False)
-    missing = pairing.unmapped(hits, pairing.pair_candidates(hits, same_sequence=True).where("score1 = 0 AND score2 = 0"))
+    missing = pairing.unmapped(hits, pairing.paired(hits.where("score = 0"), same_sequence=True))
     return pairing.unmapped_fasta(pairs, missing).select("pair_id", F.col("mate").cast("int").alias("mate"), "header", "seq")
 
 
@@ -217,6 +217,19 @@ def indel_calls(spark: SparkSession, sf: str) -> DataFrame:
     return variants.aggregate(variants.call_variants(placed, g))
 
 
+@query
+def reads_to_vcf(spark: SparkSession, sf: str) -> DataFrame:
+    """FASTA and FASTQ files of the tables, through a stored genome and index, to the lines of a VCF: substitutions, unfiltered."""
+    work = shared.fresh(spark, "run")
+    g, pairs = fx.genome(spark, sf), fx.paired_reads(spark, sf)
+    lines = g.select("seq_nr", F.posexplode(F.array(F.concat(F.lit(">"), F.col("seq_nr").cast("string")), "bases")).alias("k", "line"))
+    lines.repartitionByRange("seq_nr").sortWithinPartitions("seq_nr", "k").select("line").write.text(f"{work}/fasta")
+    for i in (1, 2):
+        simulate.write_fastq(pairs.select(F.col("pair_id").alias("ord"), F.col(f"seq{i}").alias("seq")), f"{work}/fastq{i}")
+    run.reads_to_vcf(spark, f"{work}/fasta", f"{work}/fastq1", f"{work}/fastq2", f"{work}/store", f"{work}/vcf", gaps=False, no_filter=True)
+    return spark.read.text(f"{work}/vcf").where(~F.startswith(F.col("value"), F.lit("#"))).withColumnRenamed("value", "line")
+
+
 def _made(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as variants with depths, coverages and scores of all sizes."""
     o = fx.table(spark, sf, "orders")

@@ -1,4 +1,4 @@
-"""Mapping as a stream of read files: each micro-batch is mapped and its variants go to a store; totals are read from that."""
+"""Mapping as a stream of read files: each micro-batch is mapped and its variants go to a store; running totals are kept by streams over that store."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.codec import READ
 from ..operators import mapping, pairing, variants
 
 PAIRS = "pair_id long, seq1 string, seq2 string"
@@ -32,21 +33,37 @@ def start(spark: SparkSession, folder: str, genome: DataFrame, store: str, check
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+DEPTHS = ["seq_nr", "pos", "ref", "alt"]
+STEPS = ["seq_nr", "at"]
+
+
+def accumulate(spark: SparkSession, store: str, checkpoint: str) -> list[StreamingQuery]:
+    """Streams over what the batches wrote, that hold totals in Spark's state: depth and score of each variant, and the change of coverage at each position. Each run of them reads the new files alone and writes the totals that changed."""
+
+    def changed(name: str):
+        def batch(rows: DataFrame, batch_id: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{store}/{name}/version={batch_id}")
+
+        return batch
+
+    calls = spark.readStream.schema(f"{variants.CALLS}, batch_id long").parquet(f"{store}/calls")
+    starts = spark.readStream.schema("pair_id long, seq_nr long, pos long, batch_id long").parquet(f"{store}/starts")
+    depth = calls.groupBy(*DEPTHS).agg(F.count(F.lit(1)).alias("depth"), F.sum("score").alias("score"))
+    ends = starts.select("seq_nr", F.explode(F.array(F.struct(F.col("pos").alias("at"), F.lit(1).alias("d")), F.struct((F.col("pos") + READ).alias("at"), F.lit(-1).alias("d")))).alias("e"))
+    steps = ends.groupBy("seq_nr", F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d"))
+    started = []
+    for name, rows in (("depth", depth), ("steps", steps)):
+        writer = rows.writeStream.outputMode("update").foreachBatch(changed(name)).option("checkpointLocation", f"{checkpoint}/{name}")
+        started.append(writer.trigger(availableNow=True).start())
+    return started
+
+
 def totals(spark: SparkSession, store: str) -> DataFrame:
-    """Variants of all batches so far, with coverage."""
-    calls = spark.read.parquet(f"{store}/calls").drop("batch_id")
-    starts = spark.read.parquet(f"{store}/starts").drop("batch_id")
-    return pairing.coverage_at(variants.aggregate(calls), pairing.coverage(starts))
-
-
-def rounds(pairs: DataFrame, genome: DataFrame, n: int = 1) -> DataFrame:
-    """Best hits of up to `n` rounds: pairs without a valid pair are shifted by the seed and mapped again; with their round."""
-    out = None
-    for k in range(n):
-        hits = mapping.map_reads(pairs, genome)
-        found = pairing.pair_candidates(hits)
-        out = hits.withColumn("round", F.lit(k)) if out is None else out.unionByName(hits.withColumn("round", F.lit(k)))
-        if k + 1 < n:
-            left = pairing.unmapped_fasta(pairs, pairing.unmapped(hits, found))
-            pairs = left.groupBy("pair_id").agg(*[F.max(F.when(F.col("mate") == i, F.col("seq"))).alias(f"seq{i}") for i in (1, 2)])
-    return out
+    """Variants of all batches that were accumulated so far, with coverage: of each total its last version."""
+
+    def newest(name: str, keys: list[str]) -> DataFrame:
+        rows = spark.read.parquet(f"{store}/{name}")
+        values = [c for c in rows.columns if c not in (*keys, "version")]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v")).select(*keys, "v.*")
+
+    return pairing.coverage_at(newest("depth", DEPTHS), pairing.levels(newest("steps", STEPS).where("d != 0")))
