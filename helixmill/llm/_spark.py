@@ -41,7 +41,19 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables after their last use; what is not one itself is left alone."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            spark = table.sparkSession
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import _bytes
 from ._bytes import U, WHITE_WORDS, mix
-from ._spark import cut, written
+from ._spark import cut, dropped, written
 
 #: Bins of the shingle counts, and bins to a block of them, in bits.
 BIN_BITS, BLOCK_BITS = 21, 12
@@ -267,7 +267,9 @@ def overlaps(pairs: DataFrame, fetch) -> DataFrame:
     copies = sets.join(fans, sets["cls"] == fans["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("copy"), F.col("items").alias("x"))
     dealt = pairs.join(fans, "a").withColumn("copy", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int"))
     others = sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    return written(dealt.join(others, "b").join(copies, ["a", "copy"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, common int"))
+    out = written(dealt.join(others, "b").join(copies, ["a", "copy"]).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, common int"))
+    dropped(sets)
+    return out
 
 
 def _linked(common: Column, n: Column, m: Column, num: int, den: int) -> Column:
@@ -287,6 +289,7 @@ def components(links: DataFrame) -> DataFrame:
         moved = not new.where("was != l").isEmpty()
         label = new.select("u", "l")
         if not moved:
+            dropped(both)
             return label.withColumnRenamed("u", "node").withColumnRenamed("l", "root")
 
 
@@ -305,6 +308,17 @@ class Join:
         self.sketches = written(_fetched(docs, self.entries.select("cls").distinct(), text, width, False))
         self.fetch = lambda wanted: _fetched(docs, wanted, text, width, True)
         self.tried = self.links = self.anchors = self.answer = None
+        self.passing: list[DataFrame] = []  # tables of the step under way
+
+    def held(self, df: DataFrame) -> DataFrame:
+        """df as a table that goes when its step is done."""
+        self.passing.append(written(df))
+        return self.passing[-1]
+
+    def settled(self) -> None:
+        """The step is done: what it wrote for itself goes."""
+        dropped(*self.passing)
+        self.passing = []
 
     def told(self) -> DataFrame:
         """The entries with their present answers."""
@@ -325,7 +339,8 @@ class Join:
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Written pairs (a, b, n_a, n_b) with the size of their intersection."""
-        return overlaps(pairs.select("a", "b"), self.fetch).join(pairs, ["a", "b"])
+        self.passing.append(overlaps(pairs.select("a", "b"), self.fetch))
+        return self.passing[-1].join(pairs, ["a", "b"])
 
     def link(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs with `common` that link; they are added to the links."""
@@ -335,23 +350,26 @@ class Join:
 
     def round(self, turn: int) -> bool:
         """One leader of each list against the others: it stands at the head of its set, where the bound leaves most of the list open; lists with common classes take the same leader at first, and each its own later. Whether it found any link."""
-        told = written(self.told())
+        told = self.held(self.told())
         seed = ["cls", *(["list"] if turn else []), F.lit(turn)]
         one = F.min(F.struct(_log(F.col("i")).alias("at"), F.xxhash64(*seed).alias("h"), "cls", "root", "n", "i")).alias("one")
-        open_ = written(told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks"), one).where("low != high"))
+        open_ = self.held(told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks"), one).where("low != high"))
         if open_.isEmpty():
             self.entries = self.entries.limit(0)
+            self.settled()
             return False
         leads = _chunks(open_).select("list", "chunk", *[F.col(f"one.{c}").alias(f"x_{c}") for c in ("cls", "root", "n", "i")])
         met = leads.join(told, ["list", "chunk"])
         good = (F.col("x_root") != F.col("root")) & _placed(F.col("x_n"), F.col("x_i"), F.col("n"), F.col("i"), self.num, self.den)
-        pairs = written(self.untried(met.where(good).select(F.col("x_cls").alias("a"), F.col("cls").alias("b"))))
+        pairs = self.held(self.untried(met.where(good).select(F.col("x_cls").alias("a"), F.col("cls").alias("b"))))
         done = written(self.compared(pairs))
         self.tried = done.select("a", "b") if self.tried is None else self.tried.unionByName(done.select("a", "b"))
         good = self.link(done)
         anchors = good.select(F.col("b").alias("cls"), F.struct((F.col("n_a") + F.col("n_b") - 2 * F.col("common")).alias("differ"), F.col("a").alias("anchor"), F.col("n_a").alias("n"), "common").alias("x"))
         self.anchors = anchors if self.anchors is None else self.anchors.unionByName(anchors)
+        self.passing.append(self.entries)
         self.entries = written(told.drop("root").join(_chunks(open_), ["list", "chunk"], "left_semi"))
+        self.settled()
         if good.isEmpty():
             return False
         self.answer = components(self.links)
@@ -379,32 +397,33 @@ class Join:
         if not every:
             open_ = told.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("chunks").alias("chunks")).where("low != high")
             told = told.join(_chunks(open_), ["list", "chunk"], "left_semi")
-        pairs = written(self.untried(self.blocks(written(told), every)))
-        if pairs.isEmpty():
-            return
-        self.link(self.derived(pairs) if self.anchors is not None else self.compared(pairs))
+        pairs = self.held(self.untried(self.blocks(self.held(told), every)))
+        if not pairs.isEmpty():
+            self.link(self.derived(pairs) if self.anchors is not None else self.compared(pairs))
+        self.settled()
 
     def derived(self, pairs: DataFrame) -> DataFrame:
         """Pairs with `common`, from the intersection of their anchors where that decides; the lower bound stands for what links for sure, and what can't link is left out."""
-        nearest = written(self.anchors.groupBy("cls").agg(F.min("x").alias("x")))
+        nearest = self.held(self.anchors.groupBy("cls").agg(F.min("x").alias("x")))
         sides = pairs
         for s in ("a", "b"):
             own = F.struct(F.lit(0).alias("differ"), F.col(s).alias("anchor"), F.col(f"n_{s}").alias("n"), F.col(f"n_{s}").alias("common"))
             sides = sides.join(nearest.select(F.col("cls").alias(s), F.col("x").alias(f"x_{s}")), s, "left").withColumn(f"x_{s}", F.coalesce(f"x_{s}", own))
-        sides = written(sides)
+        sides = self.held(sides)
         # worth while where an anchor stands for another class at least
         key = [F.least("x_a.anchor", "x_b.anchor").alias("p"), F.greatest("x_a.anchor", "x_b.anchor").alias("q")]
         sides = sides.select("*", *key)
         same = F.col("p") == F.col("q")
-        bases = written(sides.where(~same).groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
-        known = overlaps(bases, self.fetch).select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("base"))
+        bases = self.held(sides.where(~same).groupBy(F.col("p").alias("a"), F.col("q").alias("b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b"))
+        self.passing.append(overlaps(bases, self.fetch))
+        known = self.passing[-1].select(F.col("a").alias("p"), F.col("b").alias("q"), F.col("common").alias("base"))
         held = sides.join(known, ["p", "q"], "left").withColumn("base", F.when(same, F.col("x_a.n")).otherwise(F.col("base")))
         more = (F.col("n_a") - F.col("x_a.common")) + (F.col("n_b") - F.col("x_b.common"))
         less = (F.col("x_a.n") - F.col("x_a.common")) + (F.col("x_b.n") - F.col("x_b.common"))
-        bounded = written(held.select("a", "b", "n_a", "n_b", (F.col("base") - less).alias("least"), (F.col("base") + more).alias("most")))
+        bounded = self.held(held.select("a", "b", "n_a", "n_b", (F.col("base") - less).alias("least"), (F.col("base") + more).alias("most")))
         linked = lambda c: F.coalesce(_linked(F.col(c), F.col("n_a"), F.col("n_b"), self.num, self.den), F.lit(c == "most"))
         sure = bounded.where(linked("least")).select("a", "b", "n_a", "n_b", F.col("least").cast("int").alias("common"))
-        unsure = written(bounded.where(linked("most") & ~linked("least")).select("a", "b", "n_a", "n_b"))
+        unsure = self.held(bounded.where(linked("most") & ~linked("least")).select("a", "b", "n_a", "n_b"))
         return sure.unionByName(self.compared(unsure).select("a", "b", "n_a", "n_b", "common"))
 
 
@@ -416,8 +435,10 @@ def links(docs: DataFrame, text: str, width: int, num: int, den: int, found: Dat
             break
     before = state.links
     state.rest()
+    dropped(state.sketches)
     if state.links is None:
         return state.entries.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
+    dropped(state.entries)
     if state.answer is None or state.links is not before:
         state.answer = components(state.links)
     return state.answer
