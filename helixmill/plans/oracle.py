@@ -16,6 +16,17 @@ def _score(read: str, site: str) -> str:
     return f"10 * hamming(translate({read}, 'N', 'A'), translate({site}, 'N', 'A'))"
 
 
+#: Scores with gaps of the pairs that hint at one: a row of the band of 15 diagonals to a step, from its diagonals (m), gaps of the genome (q) and, by the least before, of the read.
+_GAPPED = """SELECT a, b, CASE WHEN early >= 0 THEN early ELSE least(best, list_min(h[1:8])) END AS s FROM (WITH RECURSIVE r AS (
+SELECT a, b, 0 AS i, list_transform(range(15), lambda x: CASE WHEN x < 7 THEN 99 ELSE 10 * (x - 7) END::INT) AS h, list_transform(range(15), lambda x: 99) AS q, -1 AS early, 99 AS best FROM cf WHERE gap
+UNION ALL
+SELECT a, b, i, h, q, CASE WHEN i < 97 AND low > 40 THEN low ELSE -1 END, CASE WHEN i >= 97 THEN least(best, h[112 - i]) ELSE best END FROM (
+  SELECT *, list_min(list_transform(range(15), lambda x: CASE WHEN i + x - 7 BETWEEN 1 AND 104 THEN h[x + 1] ELSE 99 END)) AS low FROM (
+    SELECT a, b, i, q, best, list_transform(range(15), lambda x: CASE WHEN i + x - 7 BETWEEN 1 AND 104 THEN least(m[x + 1], coalesce(list_min(list_transform(range(x), lambda k: m[k + 1] - k)), 99) + 10 + x) ELSE m[x + 1] END::INT) AS h FROM (
+      SELECT a, b, i, q, best, list_transform(range(15), lambda x: CASE WHEN i + x = 7 THEN 10 * i WHEN i + x - 7 BETWEEN 1 AND 104 THEN least(h[x + 1] + CASE WHEN substr(a, i, 1) <> substr(b, i + x - 7, 1) THEN 10 ELSE 0 END, q[x + 1]) ELSE 99 END::INT) AS m FROM (
+        SELECT a, b, i + 1 AS i, h, list_transform(range(15), lambda x: CASE WHEN i + x - 6 BETWEEN 1 AND 104 THEN least(coalesce(h[x + 2], 99) + 11, coalesce(q[x + 2], 99) + 1) ELSE 99 END::INT) AS q, best FROM r WHERE i < 104 AND early < 0))))
+) SELECT * FROM r WHERE early >= 0 OR i = 104)"""
+
 CTE = {
     "g": f"SELECT doc_id AS seq_nr, {_encode("coalesce(text, '')")} AS bases FROM documents",
     "k": "SELECT seq_nr, p - 1 AS seed_nr, substr(bases, p, 14) AS seed, substr(bases, p + 14, 104) AS nbr FROM (SELECT seq_nr, bases, unnest(range(1, length(bases) - 116)) AS p FROM g WHERE length(bases) >= 118) WHERE instr(substr(bases, p, 14), 'N') = 0",
@@ -30,6 +41,11 @@ CTE = {
     "hs": f"SELECT num, seq_nr, seed_nr, chunk_id, {_score('substr(seq, 15, 104)', 'nbr')} AS score FROM rs JOIN kk ON seed = substr(seq, 1, 14)",
     "hp": f"SELECT num, seq_nr, seed_nr, chunk_id, {_score('substr(seq, 15, 104)', 'nbr')} AS score FROM ro JOIN kk ON seed = substr(seq, 1, 14)",
     "bp": "SELECT num, seq_nr, seed_nr, chunk_id, score FROM (SELECT *, rank() OVER (PARTITION BY num, chunk_id ORDER BY score) AS r FROM hp WHERE score <= 40) WHERE r = 1",
+    "ca": "SELECT num, seq_nr, seed_nr, translate(substr(seq, 15, 104), 'N', 'A') AS a, translate(nbr, 'N', 'A') AS b FROM ro JOIN k ON seed = substr(seq, 1, 14)",
+    "cc": "SELECT a, b, list_transform(range(26), lambda i: 10 * hamming(substr(a, 4 * i + 1, 4), substr(b, 4 * i + 1, 4))) AS c FROM (SELECT DISTINCT a, b FROM ca)",
+    "cq": "SELECT *, list_transform(range(1, 27), lambda i: list_sum(c[1:i])::INT) AS t FROM cc",
+    "cf": "SELECT a, b, coalesce(list_extract(list_filter(t, lambda x: x > 40), 1), t[26]) AS s, len(list_filter(range(22), lambda i: c[i + 1] > 10 AND (i = 0 OR t[i] <= 40) AND len(list_filter(range(1, 5), lambda u: substr(a, 4 * i + 5, 16 - u) = substr(b, 4 * i + 5 + u, 16 - u) OR substr(b, 4 * i + 5, 16 - u) = substr(a, 4 * i + 5 + u, 16 - u))) > 0)) > 0 AS gap FROM cq",
+    "dp": _GAPPED,
     "pc": "SELECT DISTINCT a.num // 4 AS pair_id, a.num % 4 AS type1, a.seq_nr AS seq1, a.seed_nr AS pos1, a.score AS score1, b.num % 4 AS type2, b.seq_nr AS seq2, b.seed_nr AS pos2, b.score AS score2 FROM bp a JOIN bp b ON a.num // 4 = b.num // 4 AND a.num % 4 + b.num % 4 = 3 AND a.num % 4 < b.num % 4 AND abs(a.seed_nr - b.seed_nr) BETWEEN 131 AND 429",
     "bb": "SELECT *, count(*) OVER (PARTITION BY pair_id) AS n_tied FROM (SELECT *, score1 + score2 AS total, rank() OVER (PARTITION BY pair_id ORDER BY score1 + score2) AS r FROM pc) WHERE r = 1",
     "s1": "SELECT seq1 AS seq_nr, pos1 AS pos FROM bb WHERE n_tied = 1 UNION ALL SELECT seq2, pos2 FROM bb WHERE n_tied = 1",
@@ -74,6 +90,7 @@ _FINAL = {
     "best_hits": "SELECT num, seq_nr, seed_nr, chunk_id, score::INT AS score FROM (SELECT *, rank() OVER (PARTITION BY num, chunk_id ORDER BY score) AS r FROM hs WHERE score <= 40) WHERE r = 1",
     "oriented_reads": "SELECT num, pair_id, type, seq FROM ro",
     "zip_pairs": "SELECT pair_id, seq1, seq2 FROM rp WHERE pair_id % 3 <> 0",
+    "align_score": "SELECT num, seq_nr, seed_nr, coalesce(dp.s, cf.s)::INT AS score FROM ca JOIN cf ON cf.a = ca.a AND cf.b = ca.b LEFT JOIN dp ON dp.a = ca.a AND dp.b = ca.b",
     "pair_hits": "SELECT num, seq_nr, seed_nr, chunk_id, score::INT AS score FROM bp",
     "index_hits": "SELECT num, seq_nr, seed_nr, chunk_id, score::INT AS score FROM bp",
     "pair_candidates": f"SELECT {_PAIR} FROM pc",
