@@ -9,6 +9,8 @@ from ..functions.codec import per, variant_class
 
 KEYS = ["cls", "chr", "pos", "ref", "alt"]
 GATE = 98.0
+#: The powers that the weight of true calls is tried with.
+POWERS = [0.5, 0.8, 1, 1.2, 1.5, 1.8, 2, 2.5, 3, 3.5, 4, 5, 6, 7, 8]
 
 
 def classified(rows: DataFrame) -> DataFrame:
@@ -82,3 +84,9 @@ def tune(counts: DataFrame, powers: list[float]) -> DataFrame:
     first = tried.withColumn("metric", F.round(metric, 9)).withColumn("_r", F.row_number().over(order)).where("_r = 1")
     good = F.col("metric") >= F.pow(F.lit(0.5), "power") * 0.5
     return first.select("power", "depth", F.when(good, F.col("pct")).otherwise(100).alias("pct"), F.when(good, F.col("score")).otherwise(0).alias("score"), "metric")
+
+
+def tuned_totals(counts: DataFrame, tuned: DataFrame) -> DataFrame:
+    """power, tp, fp: what passes the filters that `tune` chose, over all depths; a depth without a good filter passes nothing."""
+    held = tuned.join(grid(counts), ["depth", "pct", "score"], "left")
+    return held.groupBy("power").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp")])

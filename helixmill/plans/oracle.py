@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import filters
 from ..functions.codec import CHARACTERS, TEXT_CODES
+from ..operators.evaluate import POWERS
 
 _Q = CHARACTERS.replace("'", "''")
 
@@ -65,7 +66,8 @@ CTE = {
     "vc": "SELECT CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 'SUB' WHEN length(ref) > 1 AND length(alt) <= 1 THEN 'DEL' WHEN length(alt) > 1 AND length(ref) <= 1 THEN 'INS' END AS cls FROM md",
     "ct": "SELECT CASE WHEN (pos + score) % 3 = 0 THEN 'FP' ELSE 'TP' END AS status, least(depth, 20) AS depth, least(pct, 99) AS pct, least(mean, 40) AS score, count(*) AS n FROM mr GROUP BY ALL",
     "gr": "SELECT d.depth, p.pct, s.score, coalesce(sum(n) FILTER (status = 'TP'), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (status = 'FP'), 0)::BIGINT AS fp FROM (SELECT unnest(range(0, 21))::INT AS depth) d, (SELECT unnest(range(1, 100))::INT AS pct) p, (SELECT unnest(range(10, 41))::INT AS score) s LEFT JOIN ct ON ct.depth = d.depth AND ct.pct >= p.pct AND ct.score BETWEEN 10 AND s.score GROUP BY ALL",
-    "tn": "SELECT w.power, gr.depth, pct, score, round(CASE WHEN tp = 0 OR total = 0 THEN 0.0 ELSE pow(tp / (tp + fp), w.power) * tp / total END, 9) AS metric FROM gr JOIN (SELECT depth, coalesce(sum(n) FILTER (status = 'TP'), 0) AS total FROM ct GROUP BY depth) t ON t.depth = gr.depth, (SELECT unnest([1.0::DOUBLE, 2.0, 3.0]) AS power) w",
+    "tn": f"SELECT w.power, gr.depth, pct, score, round(CASE WHEN tp = 0 OR total = 0 THEN 0.0 ELSE pow(tp / (tp + fp), w.power) * tp / total END, 9) AS metric FROM gr JOIN (SELECT depth, coalesce(sum(n) FILTER (status = 'TP'), 0) AS total FROM ct GROUP BY depth) t ON t.depth = gr.depth, (SELECT unnest({[float(p) for p in POWERS]}::DOUBLE[]) AS power) w",
+    "bf": "SELECT power, depth, CASE WHEN metric >= pow(0.5, power) * 0.5 THEN pct ELSE 100 END::INT AS pct, CASE WHEN metric >= pow(0.5, power) * 0.5 THEN score ELSE 0 END::INT AS score, metric FROM (SELECT *, row_number() OVER (PARTITION BY power, depth ORDER BY metric DESC, pct, score DESC) AS r FROM tn) WHERE r = 1",
     "bk": "SELECT (((list_sum(list_transform(range(1, 15), lambda i: (instr('ACTG', substr(seed, i, 1)) - 1) << (2 * (14 - i))))::BIGINT * 2654435761) >> 16) + chunk_id) % 4096 AS bucket, sum(nb_nbr * n)::BIGINT AS w FROM chunks GROUP BY 1",
     "bo": "SELECT bucket, w, row_number() OVER (ORDER BY w DESC, bucket) AS i FROM bk",
     "sl": "SELECT seq_nr, pos, min((ref, alt)) AS v FROM (SELECT DISTINCT seq_nr, pos, ref, alt FROM md WHERE pos > 0 AND ('0x' || substr(md5(seq_nr || ':' || pos), 1, 8))::BIGINT % 100 < 10) m JOIN g USING (seq_nr) WHERE substr(bases, pos, 12) <> repeat(substr(bases, pos, 2), 6) GROUP BY seq_nr, pos",
@@ -112,7 +114,8 @@ _FINAL = {
     "filter_histogram": "SELECT * FROM ct",
     "marginal_report": "SELECT dim, value, tp, fp, (sum(tp) OVER w)::BIGINT AS tp_upto, (sum(fp) OVER w)::BIGINT AS fp_upto FROM (SELECT dim, value, coalesce(sum(n) FILTER (status = 'TP'), 0)::BIGINT AS tp, coalesce(sum(n) FILTER (status = 'FP'), 0)::BIGINT AS fp FROM (SELECT 'depth' AS dim, depth AS value, status, n FROM ct UNION ALL SELECT 'pct', pct, status, n FROM ct UNION ALL SELECT 'score', score, status, n FROM ct) GROUP BY dim, value) WINDOW w AS (PARTITION BY dim ORDER BY value)",
     "filter_grid": "SELECT * FROM gr",
-    "best_filter": "SELECT power, depth, CASE WHEN metric >= pow(0.5, power) * 0.5 THEN pct ELSE 100 END::INT AS pct, CASE WHEN metric >= pow(0.5, power) * 0.5 THEN score ELSE 0 END::INT AS score, metric FROM (SELECT *, row_number() OVER (PARTITION BY power, depth ORDER BY metric DESC, pct, score DESC) AS r FROM tn) WHERE r = 1",
+    "best_filter": "SELECT * FROM bf",
+    "tuned_totals": "SELECT power, coalesce(sum(tp), 0)::BIGINT AS tp, coalesce(sum(fp), 0)::BIGINT AS fp FROM bf LEFT JOIN gr USING (depth, pct, score) GROUP BY power",
     "log_sum": "SELECT key, sum(value)::BIGINT AS total, round(sum(value) / (SELECT sum(new) FROM (SELECT CASE WHEN lag(dpu) OVER (ORDER BY ts, line_no) IS NOT DISTINCT FROM dpu THEN 0 ELSE 1 END AS new FROM lg)), 9) AS mean FROM lg GROUP BY key",
     "log_devices": "SELECT * FROM dv",
     "log_rank_avg": "SELECT rank, key, floor(sum(value) / count(*))::BIGINT AS value FROM dv GROUP BY rank, key",

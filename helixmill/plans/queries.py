@@ -300,7 +300,13 @@ def filter_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def best_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.tune(_counts(spark, sf), [1.0, 2.0, 3.0])
+    return evaluate.tune(_counts(spark, sf), evaluate.POWERS)
+
+
+@query
+def tuned_totals(spark: SparkSession, sf: str) -> DataFrame:
+    counts = _counts(spark, sf)
+    return evaluate.tuned_totals(counts, evaluate.tune(counts, evaluate.POWERS))
 
 
 def _hour():
