@@ -25,7 +25,8 @@ def along(df: DataFrame, bucket: Column, order: list, *, keys: tuple[str, ...] =
 
     sums and xors run up to and with the row (nulls count as nothing, 0 before the first value); lasts is
     the last value that is not null up to the row; lags is the value of the row before, null for a key's first.
-    `order` must be total within a key for a defined result, and `bucket` must not fall along it.
+    `order` must be total within a key for a defined result, and `bucket` must not fall along it; with lasts or lags
+    its entries are ascending columns. df is read twice: what is costly to make should be a table first.
     """
     sums, xors, lasts, lags = (x or {} for x in (sums, xors, lasts, lags))
     by = [*keys, "_bucket"]
